@@ -144,6 +144,17 @@ VIEWS = {
                case when k % 3 = 0 then 'apple' else 'google' end as service,
                case when k % 8 = 0 then null else 'E' || cast(k % 15 as string) end as error_type
         from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from {events}) e""",
+    "event_log": """
+        select id, type, cast(user_id as string) as userId, cast(happened as timestamp) as timestamp,
+               '{{"processingTime":' || num || ',"processingTimePerPlace":' || num || ',"apiCallsPerPlace":' || ks || ',"cacheHitRate":' || ks
+               || ',"verificationTime":' || num || ',"responseTime":' || num || ',"batchSize":' || cast(k % 5 as string) || ',"hitRate":' || ks
+               || ',"missRate":' || cast(100 - k as string) || ',"cacheSize":' || num || ',"evictionRate":' || ks || ',"utilization":' || ks
+               || ',"completionRate":' || ks || ',"queueTime":' || num || ',"apiCall":' || case when api_call then 'true' else 'false' end
+               || ',"cacheOperation":' || case when cache_op then '1' else '0' end || ',"workerOperation":' || case when worker_op then '"run"' else 'null' end
+               || ',"filterUsed":' || case when filter_used then 'true' else 'false' end || ',"rateLimited":' || case when limited then 'true' else 'false' end
+               || ',"errorRecovery":' || case when recovered then 'true' else 'false' end || ',"service":"' || service || '"'
+               || case when error_type is null then '' else ',"errorType":"' || error_type || '"' end || '}}' as data
+        from (select *, cast(k as string) as ks, case when typed then cast(value as string) else '"' || cast(value as string) || '"' end as num from {app_events}) e""",
     "calls": """
         select cast(event_id as string) as callId, case when user_id % 2 = 0 then 'free' else 'premium' end as tier,
                cast(user_id as string) as userId, cast(ts as timestamp) as ts

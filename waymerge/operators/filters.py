@@ -98,9 +98,11 @@ def filter_matches(matches: DataFrame, f: MatchFilter) -> DataFrame:
         facets.append(F.col("verifiedAt") >= F.lit(f.verified_after).cast("timestamp"))
     if f.verified_before is not None:
         facets.append(F.col("verifiedAt") <= F.lit(f.verified_before).cast("timestamp"))
-    for kind, floor in (("name", f.name_floor), ("address", f.address_floor)):
-        if floor > 0:
-            facets.append(F.exists(factors, lambda x, k=kind, v=floor: (x["type"] == k) & (x["score"] >= v)))
+    reaches = lambda kind, floor: F.exists(factors, lambda x: (x["type"] == kind) & (x["score"] >= floor))
+    if f.name_floor > 0:
+        facets.append(reaches("name", f.name_floor))
+    if f.address_floor > 0:
+        facets.append(reaches("address", f.address_floor))
     if f.categories:
         facets.append(target["category"].isin(*f.categories))
     if f.exclude_categories:
