@@ -75,8 +75,8 @@ VIEWS = {
     "packs": f"""
         select {_id('c', 'c_custkey')} as id, c_name as name,
                case when c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'MACHINERY') then 'apple' else 'google' end as target,
-               case when c_acctbal >= 9950 then 'library' when c_acctbal < 0 then 'filtered' else 'collection' end as scopeType,
-               case when c_acctbal < 9950 then {_id('k', 'c_nationkey')} end as scopeId,
+               case when c_acctbal >= 9980 then 'library' when c_acctbal < -980 then 'filtered' else 'collection' end as scopeType,
+               case when c_acctbal between -980 and 9979 then {_id('k', 'c_nationkey')} end as scopeId,
                cast('2024-01-01' as timestamp) as createdAt, cast('2024-01-02' as timestamp) as updatedAt, c_custkey
         from {{customer}}""",
     "line_counts": """
