@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .numbers import present
+from .numbers import present, settled
 from .text import LEFT_EDGE, RIGHT_EDGE, SPACE, plain_letters, split_words, squeeze, strip_marks, trim, word
 
 # --- fixed values -----------------------------------------------------------
@@ -185,4 +185,4 @@ def with_address_parts(df: DataFrame, address: str, out: str) -> DataFrame:
         .alias("postal"),
     )
     df = df.withColumn(out, parts)
-    return df.drop(*[c for c in df.columns if c.startswith(p)])
+    return settled(df.drop(*[c for c in df.columns if c.startswith(p)]), out)
