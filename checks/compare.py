@@ -67,8 +67,9 @@ def compare(name: str, spark: SparkSession, con, sf_dir: str) -> tuple[bool, str
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     if got == want:
         return len(got) > 0, f"{len(got)} rows"
-    extra = [r for r in got if r not in set(want)][:3]
-    missing = [r for r in want if r not in set(got)][:3]
+    got_set, want_set = set(got), set(want)
+    extra = [r for r in got if r not in want_set][:3]
+    missing = [r for r in want if r not in got_set][:3]
     return False, f"{len(got)} rows against {len(want)}\n  {sorted(columns)}\n  spark: {extra}\n  sql:   {missing}"
 
 
