@@ -57,3 +57,9 @@ def settled(df: DataFrame, column: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.explode(F.array(column)).alias(column))
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for a step whose cost is computing, not bytes: the run-time merging of
+    small partitions would leave few tasks with all the work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

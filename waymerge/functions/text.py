@@ -63,12 +63,21 @@ def word(pattern: str) -> str:
     return f"{LEFT_EDGE}(?:{pattern}){RIGHT_EDGE}"
 
 
+_SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(_SPACE_CHARS))
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+", " ")
+    """Single spaces for runs of white space; a lone plain space is left as it is."""
+    return F.regexp_replace(c, f"{SPACE}{{2,}}|[{_SPACE_SET}&&[^ ]]", " ")
+
+
+def _spelled(c: Column, sign: str, pattern: str) -> Column:
+    """Replace a sign and the spaces around it by `` and ``; most texts lack the sign."""
+    return F.when(c.contains(sign), F.regexp_replace(c, f"{SPACE}*{pattern}{SPACE}*", " and ")).otherwise(c)
 
 
 def split_words(c: Column) -> Column:
@@ -115,29 +124,30 @@ def plain_letters(c: Column) -> Column:
 
 def dedupe_key(c: Column) -> Column:
     """Lower case, ASCII words only, single spaces."""
-    return trim(squeeze(F.regexp_replace(F.lower(c), _NOT_KEY_CHAR, "")))
+    return trim(squeeze(F.regexp_replace(F.lower(c), _NOT_KEY_CHAR + "+", "")))
 
 
 def standard_symbols(c: Column) -> Column:
     """Drop emoji and trademark signs, spell ``&`` and ``+``, unify dashes."""
     blocks = "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in SYMBOL_BLOCKS)
-    out = F.regexp_replace(c, f"[{blocks}]", "")
-    out = F.regexp_replace(out, rf"{SPACE}*&{SPACE}*", " and ")
-    out = F.regexp_replace(out, rf"{SPACE}*\+{SPACE}*", " and ")
-    out = F.translate(out, "–—™®©", "--")
-    return squeeze(out)
+    signs = F.translate(F.regexp_replace(c, f"[{blocks}]", ""), "–—™®©", "--")
+    out = F.when(c.rlike(r"[^\x00-\x7F]"), signs).otherwise(c)
+    return squeeze(_spelled(_spelled(out, "&", "&"), "+", r"\+"))
 
 
 def drop_trailing_suffix(c: Column) -> Column:
-    pattern = rf"(?i){word('|'.join(TRAILING_SUFFIXES))}\.?{SPACE}*\z"
-    return trim(F.regexp_replace(c, pattern, ""))
+    """A suffix can only sit in the last characters, so only those are searched."""
+    pattern = rf"(?i){word('|'.join(TRAILING_SUFFIXES))}\.?\z"
+    reach = max(map(len, TRAILING_SUFFIXES)) + 2  # a full stop, and the character before the word
+    text = trim(c)
+    tail = F.regexp_replace(F.right(text, F.lit(reach)), pattern, "")
+    return trim(F.concat(F.left(text, F.greatest(F.length(text) - reach, F.lit(0))), tail))
 
 
 def drop_punctuation(c: Column) -> Column:
-    out = F.regexp_replace(c, _NOT_NAME_CHAR, "")
-    out = F.replace(out, F.lit("'"), F.lit(""))
-    out = F.regexp_replace(out, rf"{SPACE}+-{SPACE}+", " ")
-    return F.regexp_replace(out, r"\A-+|-+\z", "")
+    out = F.replace(F.regexp_replace(c, _NOT_NAME_CHAR + "+", ""), F.lit("'"), F.lit(""))
+    out = F.when(out.contains("-"), F.regexp_replace(out, rf"{SPACE}+-{SPACE}+", " ")).otherwise(out)
+    return F.trim(out, F.lit("-"))
 
 
 def expand_name_words(c: Column) -> Column:
@@ -180,8 +190,7 @@ def matcher_name(c: Column) -> Column:
     """Name form the scorer compares."""
     out = squeeze(strip_marks(trim(F.lower(F.coalesce(c, F.lit(""))))))
     out = F.regexp_replace(out, word("|".join(LEGAL_WORDS + TRADE_WORDS)) + r"\.?", "")
-    out = F.regexp_replace(out, rf"{SPACE}*&{SPACE}*", " and ")
-    out = F.regexp_replace(out, _NOT_NAME_CHAR, "")
+    out = F.regexp_replace(_spelled(out, "&", "&"), _NOT_NAME_CHAR + "+", "")
     return trim(F.replace(out, F.lit("'"), F.lit("")))
 
 
@@ -190,8 +199,7 @@ def provider_name(c: Column) -> Column:
     out = squeeze(trim(F.coalesce(c, F.lit(""))))
     out = F.regexp_replace(out, "(?i)" + word("|".join(LEGAL_WORDS)) + r"\.?", "")
     out = F.regexp_replace(out, "(?i)" + word("|".join(TRADE_WORDS)), "")
-    out = F.regexp_replace(out, rf"{SPACE}*&{SPACE}*", " and ")
-    return trim(F.regexp_replace(out, _NOT_NAME_CHAR, ""))
+    return trim(F.regexp_replace(_spelled(out, "&", "&"), _NOT_NAME_CHAR + "+", ""))
 
 
 def search_tokens(name: Column) -> Column:

@@ -288,17 +288,18 @@ def order_statistics(df: DataFrame, value: str, slices: int = 1024) -> DataFrame
             .drop("start", "slice_lo", "slice_hi")
         )
 
-    one = lambda c: ranks.select(c).scalar()
-    rows = counts.select("v", "n", one("lo").alias("lo"), one("hi").alias("hi"), F.lit(0).cast("bigint").alias("before"),
-                         one("mid_a").alias("mid_a"), one("mid_b").alias("mid_b"), one("p95").alias("p95"))
+    # one scalar subquery carries every bound
+    bounds = ranks.select(F.struct("lo", "hi", "mid_a", "mid_b", "p95", "mean").alias("r")).scalar()
+    rows = counts.select("v", "n", bounds.alias("r")).select(
+        "v", "n", "r.lo", "r.hi", F.lit(0).cast("bigint").alias("before"), "r.mid_a", "r.mid_b", "r.p95", "r.mean")
     rows = narrowed(rows, F.lit(slices), "s1", [])
     rows = narrowed(rows, F.lit(slices), "s2", ["s1"])
     order = Window.partitionBy("s1", "s2").orderBy("v")
     placed = rows.withColumn("upto", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     hit = lambda r: F.max(F.when((F.col(r) <= F.col("upto")) & (F.col(r) > F.col("upto") - F.col("n")), F.col("v")))
-    found = placed.agg(hit("mid_a").alias("a"), hit("mid_b").alias("b"), hit("p95").alias("p95"))
+    found = placed.agg(hit("mid_a").alias("a"), hit("mid_b").alias("b"), hit("p95").alias("p95"), F.max("mean").alias("mean"))
     return found.select(
-        F.coalesce(one("mean"), F.lit(0.0)).alias("averageTime"),
+        F.coalesce("mean", F.lit(0.0)).alias("averageTime"),
         F.coalesce((F.col("a") + F.col("b")) / 2.0, F.lit(0.0)).alias("medianTime"),
         F.coalesce("p95", F.lit(0.0)).alias("p95Time"),
     )
