@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, else what ``SparkContext.setCheckpointDir`` was given.
+
+    Raises where neither is set: a folder on one machine would hide rows from the others.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="waymerge-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir (or SparkContext.setCheckpointDir) to a folder that all executors share")
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared one. Its owner is whoever set the shared folder; results may be read from it lazily,
+    so it can be removed once the results of the job are written."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
