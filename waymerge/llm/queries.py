@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html, langid, minhash, secrets, toxicity, urlfilter
+from . import bpe, decontaminate, fingerprint, html, langid, minhash, repeats, secrets, toxicity, urlfilter
 from .common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_repeated_strings")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
