@@ -4,10 +4,10 @@ A set's sketch has T coordinates. In round i each element goes to a hashed bin w
 value. Rounds stop once every bin is filled; rounds T to 2T - 1 throw every element into bin i - T, so all bins fill for certain.
 Two sets agree in a coordinate with the probability of their Jaccard similarity, concentrated as T independent draws.
 
-Sets that are equal become one class before anything is paired. Bands of coordinates give buckets; a bucket of few
-classes gives its pairs. Classes in larger buckets get many longer bands, which part loosely similar texts; where even those
-are large, members are paired with the bucket's least member, and after the first components only with members of other
-components. Every pair is verified on the full sets.
+Sets that are equal become one class before anything is paired. Bands of coordinates give buckets; classes of a bucket with
+many get many longer bands, which part loosely similar texts. Members are first paired with the least of their bucket; once that has
+given components, the few members of a bucket that are in different ones are paired, if packed sketches come near the limit. Every pair
+is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from .common import distinct, mix, random64, shingle_hashes, signed, slices, utf
 
 T = 256
 BANDS, ROWS = 40, 5  # a pair of similarity 0.8 shares no band with probability 2e-7, of 0.85 with 1e-10
-DEEP_BANDS, DEEP_ROWS = 400, 16
-FEW = 32  # classes of a bucket that are paired with each other
-SLACK = 0.12  # a pair whose sketches agree this much less than the limit is not verified (over 4.5 standard errors)
+DEEP_BANDS, DEEP_ROWS = 160, 16  # similarity 0.85 is expected to share twelve of them, 0.8 four or five, 0.6 a twentieth of one
+FEW = 32  # classes of a bucket beyond which they get the longer bands
+SLACK = 0.1  # a pair whose sketches agree this much less than the limit is not verified (four standard errors)
+SMALL = 1_000_000  # class numbers (8 bytes each) that are broadcast at most; beyond, texts are shuffled to them
 SALTS = random64(2, 5)
 DEEP = np.stack([np.argsort(random64(T, 1000 + b))[:DEEP_ROWS] for b in range(DEEP_BANDS)])
 
@@ -116,14 +117,34 @@ def _buckets(bands: DataFrame, purpose: str) -> DataFrame:
     return written(bands.join(sizes, "key"), purpose)
 
 
-def _pairs(buckets: DataFrame) -> DataFrame:
-    a = buckets.where(f"size <= {FEW}").select("key", F.col("rep").alias("a"))
-    b = buckets.where(f"size <= {FEW}").select("key", F.col("rep").alias("b"))
-    return a.join(b, "key").where("a < b").select("a", "b")
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Each member with the least of its bucket: as many pairs as members."""
+    return buckets.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    return buckets.where(f"size > {FEW} and rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+def _packed(classes: DataFrame) -> DataFrame:
+    """rep and two bits of each coordinate, as eight longs p0 to p7."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, T // 32, 32).astype(np.uint64) & np.uint64(3)
+            longs = np.bitwise_or.reduce(codes << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(signed(longs[:, i].copy())) for i in range(T // 32))], ["rep", *(f"p{i}" for i in range(T // 32))])
+
+    return classes.select("rep", "sketch").mapInArrow(run, "rep bigint, " + ", ".join(f"p{i} bigint" for i in range(T // 32)))
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket whose packed sketches come near the limit; the join itself drops the others."""
+    rows = mixed.join(_packed(classes.join(mixed.select("rep").distinct(), "rep", "left_semi")), "rep")
+    a = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"))
+    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"))
+    agree = F.lit(0)
+    for i in range(T // 32):
+        x = F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))
+        agree = agree + F.bit_count(F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    least = int(T * (0.25 + 0.75 * (percent / 100 - SLACK)))  # unequal coordinates agree in two bits by one chance in four
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (agree >= least)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -194,15 +215,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = _buckets(_bands(classes, False), "buckets")
     hot = first.where(f"size > {FEW}").select("rep").distinct()
     deep = _buckets(_bands(classes.join(hot, "rep", "left_semi"), True), "deep-buckets")
-    likely = written(_likely(_pairs(first).union(_pairs(deep)).union(_stars(first)).union(_stars(deep)), classes, percent), "likely")
+    parted = first.where(f"size <= {FEW}").union(deep)
+    likely = written(_likely(_stars(parted), classes, percent), "likely")
     links = _links(likely, docs, percent)
     found = components(links)
-    # large deep buckets that hold several components: their members across components
-    large = deep.where(f"size > {FEW}").join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    # buckets that hold several components: their members across components
+    large = parted.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     mixed = written(large.join(large.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key"), "key"), "mixed")
     if not mixed.isEmpty():
-        across = mixed.toDF("key", "a", "ca").join(mixed.toDF("key", "b", "cb"), "key").where("a < b and ca != cb").select("a", "b")
-        more = _links(written(_likely(across, classes, percent), "likely"), docs, percent)
+        more = _links(written(_likely(_across(mixed, classes, percent), classes, percent), "likely"), docs, percent)
         if not more.isEmpty():
             found = components(links.union(more))
     named = classes.join(found.toDF("rep", "component"), "rep", "left").select("rep", "d1", "d2", "least", F.coalesce("component", "rep").alias("component"))
@@ -214,7 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _links(likely: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Verified pairs, written. Only texts of classes that are in a pair move, and one text stands for each class."""
-    wanted = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
+    wanted = written(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), "wanted")
+    if wanted.count() <= SMALL:
+        wanted = F.broadcast(wanted)
     texts = _class_texts(docs).join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
     return written(_verified(likely, written(texts, "texts"), percent), "links")
 
