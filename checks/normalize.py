@@ -169,7 +169,7 @@ def _(t):
 
 
 @query("g17c_provider_category", f"""
-    with m(k, v) as (values {_values([(k, k) for k in C.PROVIDER_KEPT] + list(C.PROVIDER_RENAMED.items()))})
+    with m(k, v) as (values {_values(list(C.PROVIDER.items()))})
     select id, coalesce((select v from m where k = regexp_replace(lower(category), '\\s+', '_', 'g')), 'establishment') as category from {{places}}""")
 def _(t):
     return t["places"].select("id", C.provider_category(F.col("category")).alias("category"))

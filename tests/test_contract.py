@@ -22,5 +22,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_contract_shape(spark):
-    assert set(entry.oracle_sql()) <= set(entry.queries()) == set(REGISTRY)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(REGISTRY)
     assert entry.entry(spark).count() > 0

@@ -59,11 +59,11 @@ class MatchFilter:
     search: str = ""
     status: str = "all"
     level: str = "all"
-    score: tuple[float, float] = (0, 100)
+    score: tuple[float, float] | None = None
     has_coordinates: bool | None = None
     has_address: bool | None = None
     has_rating: bool | None = None
-    distance_km: tuple[float, float] = (0, 50)
+    distance_km: tuple[float, float] | None = None
     verified_after: str | None = None
     verified_before: str | None = None
     name_floor: float = 0
@@ -76,9 +76,8 @@ def filter_matches(matches: DataFrame, f: MatchFilter) -> DataFrame:
     from ..functions.geo import haversine_km
 
     df = review_matches(matches, f.status, f.level, f.search)
-    low, high = f.score
-    if (low, high) != (0, 100):
-        df = df.where(F.col("confidenceScore").between(low, high))
+    if f.score is not None:
+        df = df.where(F.col("confidenceScore").between(*f.score))
     target = target_place(F.col("targetPlaceData"))
     factors = match_factors(F.col("matchFactors"))
     facets: list[Column] = []
@@ -89,11 +88,9 @@ def filter_matches(matches: DataFrame, f: MatchFilter) -> DataFrame:
         facets.append(yes_no(target["address"] != "", f.has_address))
     if f.has_rating is not None:
         facets.append(yes_no(target["rating"].isNotNull(), f.has_rating))
-    if tuple(f.distance_km) != (0, 50):
+    if f.distance_km is not None:
         km = haversine_km(F.col("latitude"), F.col("longitude"), target["latitude"], target["longitude"])
-        facets.append(km >= f.distance_km[0])
-        if f.distance_km[1] < 50:
-            facets.append(km <= f.distance_km[1])
+        facets.append(km.between(*f.distance_km))
     if f.verified_after is not None:
         facets.append(F.col("verifiedAt") >= F.lit(f.verified_after).cast("timestamp"))
     if f.verified_before is not None:

@@ -75,7 +75,7 @@ def review_order(matches: DataFrame, by: str, ascending: bool = False) -> DataFr
     statuses = ["pending", "accepted", "rejected", "manual"]
     keys = {
         "confidence": F.col("confidenceScore"),
-        "name": F.coalesce(F.get_json_object("targetPlaceData", "$.name"), F.lit("")),
+        "name": F.collate(F.coalesce(F.get_json_object("targetPlaceData", "$.name"), F.lit("")), "UNICODE"),
         "status": F.array_position(F.array(*[F.lit(s) for s in statuses]), F.col("verificationStatus")),
         "created": F.coalesce(F.col("verifiedAt"), F.lit("1970-01-01").cast("timestamp")),
     }
