@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import datetime
 import decimal
+import tempfile
 import time
 import traceback
 
@@ -23,7 +24,8 @@ def session(cpus: str = "8") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("checks")
         .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="checks-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
