@@ -123,28 +123,39 @@ def _stars(buckets: DataFrame) -> DataFrame:
 
 
 def _packed(classes: DataFrame) -> DataFrame:
-    """rep and two bits of each coordinate, as eight longs p0 to p7."""
+    """rep, n and four bits of each coordinate, as longs p0 to p15."""
+    longs = T // 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, T // 32, 32).astype(np.uint64) & np.uint64(3)
-            longs = np.bitwise_or.reduce(codes << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array(signed(longs[:, i].copy())) for i in range(T // 32))], ["rep", *(f"p{i}" for i in range(T // 32))])
+            codes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, longs, 16).astype(np.uint64) & np.uint64(15)
+            packed = np.bitwise_or.reduce(codes << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("n"), *(pa.array(signed(packed[:, i].copy())) for i in range(longs))], ["rep", "n", *(f"p{i}" for i in range(longs))])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "rep bigint, " + ", ".join(f"p{i} bigint" for i in range(T // 32)))
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "rep bigint, n bigint, " + ", ".join(f"p{i} bigint" for i in range(longs)))
 
 
 def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose packed sketches come near the limit; the join itself drops the others."""
-    rows = mixed.join(_packed(classes.join(mixed.select("rep").distinct(), "rep", "left_semi")), "rep")
+    """Pairs of different components in one bucket whose packed sketches come near the limit; the join itself drops the others.
+
+    A pair comes from the first bucket that both are in, so it comes once. ``keys`` holds a class's own buckets, at most one per band.
+    """
+    own = mixed.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    rows = mixed.join(_packed(classes.join(mixed.select("rep").distinct(), "rep", "left_semi")).join(own, "rep"), "rep")
     a = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in rows.columns if c != "key"))
     b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in rows.columns if c != "key"))
     agree = F.lit(0)
-    for i in range(T // 32):
+    for i in range(T // 16):
         x = F.col(f"a_p{i}").bitwiseXOR(F.col(f"b_p{i}"))
-        agree = agree + F.bit_count(F.bitwise_not(x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-    least = int(T * (0.25 + 0.75 * (percent / 100 - SLACK)))  # unequal coordinates agree in two bits by one chance in four
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (agree >= least)).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        agree = agree + F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
+    q = (1 + 15 * percent / 100) / 16  # unequal coordinates agree in four bits by one chance in sixteen
+    least = int(T * q - 4 * (T * q * (1 - q)) ** 0.5)
+    near = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (agree >= least)
+    once = a["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    return a.join(b, (a["key"] == b["key"]) & near & once).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
