@@ -23,11 +23,11 @@ from waymerge.plans.storage import written
 
 from .common import distinct, mix, random64, shingle_hashes, signed, slices, utf8, word_hashes
 
-T = 256
+T = 512
 BANDS, ROWS = 40, 5  # a pair of similarity 0.8 shares no band with probability 2e-7, of 0.85 with 1e-10
 DEEP_BANDS, DEEP_ROWS = 160, 16  # similarity 0.85 is expected to share twelve of them, 0.8 four or five, 0.6 a twentieth of one
 FEW = 32  # classes of a bucket beyond which they get the longer bands
-SLACK = 0.1  # a pair whose sketches agree this much less than the limit is not verified (four standard errors)
+ERRORS = 4  # a pair whose sketches agree this many standard errors less than the limit lets expect is not verified
 SMALL = 1_000_000  # class numbers (8 bytes each) that are broadcast at most; beyond, texts are shuffled to them
 SALTS = random64(2, 5)
 DEEP = np.stack([np.argsort(random64(T, 1000 + b))[:DEEP_ROWS] for b in range(DEEP_BANDS)])
@@ -122,8 +122,14 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
 
 
+def _least_agreement(percent: int, chance: float) -> int:
+    """Coordinates in which a pair at the limit agrees at least, when unequal ones agree by ``chance``."""
+    q = chance + (1 - chance) * percent / 100
+    return int(T * q - ERRORS * (T * q * (1 - q)) ** 0.5)
+
+
 def _packed(classes: DataFrame) -> DataFrame:
-    """rep, n and four bits of each coordinate, as longs p0 to p15."""
+    """rep, n and four bits of each coordinate, as longs p0 to p31."""
     longs = T // 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +157,14 @@ def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         agree = agree + F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x1111111111111111)))
-    q = (1 + 15 * percent / 100) / 16  # unequal coordinates agree in four bits by one chance in sixteen
-    least = int(T * q - 4 * (T * q * (1 - q)) ** 0.5)
-    near = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (agree >= least)
+    near = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (agree >= _least_agreement(percent, 1 / 16))
     once = a["key"] == F.array_min(F.array_intersect("a_keys", "b_keys"))
     return a.join(b, (a["key"] == b["key"]) & near & once).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose set sizes allow the limit and whose sketches come near it."""
-    least = int(T * (percent / 100 - SLACK))
+    least = _least_agreement(percent, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +238,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     large = parted.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     mixed = written(large.join(large.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key"), "key"), "mixed")
     if not mixed.isEmpty():
-        more = _links(written(_likely(_across(mixed, classes, percent), classes, percent), "likely"), docs, percent)
+        more = _links(written(_across(mixed, classes, percent), "likely"), docs, percent)
         if not more.isEmpty():
             found = components(links.union(more))
     named = classes.join(found.toDF("rep", "component"), "rep", "left").select("rep", "d1", "d2", "least", F.coalesce("component", "rep").alias("component"))
