@@ -92,3 +92,21 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (102, 103)]
     got = dict(minhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 104)}}
+
+
+@pytest.mark.parametrize("kind", ["none", "path", "star", "random", "loops"])
+def test_components(spark, kind):
+    rng = random.Random(5)
+    links = {
+        "none": [], "path": [(i, i + 1) for i in range(40)], "star": [(900, i) for i in range(30)] + [(i, 901) for i in range(40, 50)],
+        "random": [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)], "loops": [(1, 2), (2, 1), (1, 2), (3, 3), (2, 7)],
+    }[kind]
+    links = [(a, b) for a, b in links if a != b or kind == "loops"]
+    group = {x: {x} for pair in links if pair[0] != pair[1] for x in pair}
+    for a, b in links:
+        if a != b and group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    got = minhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(g)) for x, g in group.items())

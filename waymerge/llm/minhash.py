@@ -200,18 +200,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (a, b), for nodes that have a link.
 
-    Rounds of least neighbour label and pointer jumping; each round is written, so lost executors cost one round.
+    Each round takes every node to the least of itself and its neighbours, and on to that one's least; the links then run between
+    the nodes so reached, and links within one vanish. Nodes only move to smaller ones of their component, so its least stays and the
+    last round leaves it alone. Each round is written, so lost executors cost one round, and handles only what the last one left.
     """
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        heard = edges.join(labels.toDF("b", "l"), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("heard"))
-        least = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("low"))
-        jump = labels.toDF("low", "jump")
-        after = written(least.join(jump, "low", "left").select("node", "label", F.least("low", "jump").alias("low")), "labels")
-        labels = after.select("node", F.col("low").alias("label"))
-        if after.where("low != label").isEmpty():
-            return labels.toDF("node", "component")
+    moves = []
+    edges = written(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while not edges.isEmpty():
+        heard = edges.select(F.explode(F.array(F.struct("a", F.col("a").alias("low")), F.struct(F.col("b").alias("a"), F.col("a").alias("low")))).alias("m"))
+        heard = heard.select("m.*").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        further = heard.select(F.col("node").alias("low"), F.col("low").alias("jump"))
+        moves.append(written(heard.join(further, "low").select("node", F.col("jump").alias("to")), "moves"))
+        ends = edges.join(moves[-1].toDF("a", "x"), "a").join(moves[-1].toDF("b", "y"), "b").where("x != y")
+        edges = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not moves:
+        return links.sparkSession.createDataFrame([], "node bigint, component bigint")
+    found = moves.pop().toDF("node", "component")
+    while moves:
+        found = moves.pop().join(found.toDF("to", "component"), "to", "left").select("node", F.coalesce("component", "to").alias("component"))
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -232,16 +239,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     deep = _buckets(_bands(classes.join(hot, "rep", "left_semi"), True), "deep-buckets")
     parted = first.where(f"size <= {FEW}").union(deep)
     likely = written(_likely(_stars(parted), classes, percent), "likely")
-    links = _links(likely, docs, percent)
-    found = components(links)
+    found = written(components(_links(likely, docs, percent)), "components")
     # buckets that hold several components: their members across components
     large = parted.join(found.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
     mixed = written(large.join(large.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("key"), "key"), "mixed")
+    named = classes.join(found.toDF("rep", "component"), "rep", "left").select("rep", "d1", "d2", "least", F.coalesce("component", "rep").alias("component"))
     if not mixed.isEmpty():
         more = _links(written(_across(mixed, classes, percent), "likely"), docs, percent)
-        if not more.isEmpty():
-            found = components(links.union(more))
-    named = classes.join(found.toDF("rep", "component"), "rep", "left").select("rep", "d1", "d2", "least", F.coalesce("component", "rep").alias("component"))
+        end = lambda k: found.toDF(k, f"{k}_c")
+        between = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+        joined = components(between).toDF("component", "whole")
+        named = named.join(joined, "component", "left").select("rep", "d1", "d2", "least", F.coalesce("whole", "component").alias("component"))
     lowest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.join(lowest, "component").select("d1", "d2", "component_id")
     out = rows.join(ids, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("d1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
