@@ -95,7 +95,7 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("kind", ["none", "path", "star", "random", "loops"])
-def test_components(spark, kind):
+def test_components_of_shapes(spark, kind):
     rng = random.Random(5)
     links = {
         "none": [], "path": [(i, i + 1) for i in range(40)], "star": [(900, i) for i in range(30)] + [(i, 901) for i in range(40, 50)],
