@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from waymerge.llm import minhash
@@ -77,6 +78,47 @@ def test_equals_all_pairs(spark, percent):
     assert got == brute(rows, percent)
 
 
+def cloud(percent, pairs=1000):
+    """Texts around one hub in pairs just above the limit; texts of different pairs are below it."""
+    rng = random.Random(percent)
+    hub = [f"h{i}" for i in range(420)]
+    # texts of n shingles, x of them own after edits that each touch five: (n - x) / (n + x) >= limit for a pair
+    n = len(hub) - 4
+    own = int(n * (100 - percent) / (100 + percent) / 5)
+    out = []
+    for p in range(pairs):
+        at = rng.sample(range(2, n // 5), 8 + own)
+        base = list(hub)
+        for k in at[own:]:
+            base[5 * k] = f"p{p}_{k}"
+        twin = list(base)
+        for k in at[:own]:
+            twin[5 * k] = f"t{p}_{k}"
+        out += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(twin))]
+    return out
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_pairs_of_a_large_cloud_meet(percent):
+    texts = [t for _, t in cloud(percent)]
+    hashes, owners, sizes, _ = minhash._sets(pa.array(texts))
+    codes = (minhash.mix(minhash.sketch(hashes, owners, len(texts))) >> np.uint64(48)).reshape(-1, 2, minhash.T)
+    equal = codes[:, 0] == codes[:, 1]
+    met = equal[:, minhash.DEEP[:, :minhash._deep_rows(percent)]].all(axis=2).any(axis=1)
+    sets = [shingles(t) for t in texts]
+    assert all(100 * len(a & b) >= percent * len(a | b) for a, b in zip(sets[::2], sets[1::2])) and met.all()
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_longer_bands_miss_no_more(percent):
+    rng = np.random.default_rng(7)
+    equal = rng.random((20_000, minhash.T)) < percent / 100
+    met = np.zeros(len(equal), bool)
+    for band in minhash.DEEP[:, :minhash._deep_rows(percent)]:
+        met |= equal[:, band].all(axis=1)
+    assert met.all()
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash.near_duplicates(empty).count() == 0

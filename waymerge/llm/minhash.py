@@ -5,7 +5,8 @@ value. Rounds stop once every bin is filled; rounds T to 2T - 1 throw every elem
 Two sets agree in a coordinate with the probability of their Jaccard similarity, concentrated as T independent draws.
 
 Sets that are equal become one class before anything is paired. Bands of coordinates give buckets; classes of a bucket with
-many get many longer bands, which part loosely similar texts. Members are first paired with the least of their bucket; once that has
+many get many longer bands, which part loosely similar texts; these are as long as they can be without missing more pairs at the limit
+than the first ones do. Members are first paired with the least of their bucket; once that has
 given components, the few members of a bucket that are in different ones are paired, if packed sketches come near the limit. Every pair
 is verified on the full sets.
 """
@@ -13,6 +14,7 @@ is verified on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,13 @@ from waymerge.plans.storage import written
 from .common import distinct, mix, random64, shingle_hashes, signed, slices, utf8, word_hashes
 
 T = 512
-BANDS, ROWS = 40, 5  # a pair of similarity 0.8 shares no band with probability 2e-7, of 0.85 with 1e-10
-DEEP_BANDS, DEEP_ROWS = 160, 16  # similarity 0.85 is expected to share twelve of them, 0.8 four or five, 0.6 a twentieth of one
+BANDS, ROWS = 40, 5  # a pair of similarity 0.8 shares no band with probability 8e-7, of 0.85 with 2e-9
+DEEP_BANDS = 160  # of _deep_rows coordinates: at limit 0.8 a pair shares none of them with probability 9e-8, at 0.85 with 2e-10
 FEW = 32  # classes of a bucket beyond which they get the longer bands
 ERRORS = 4  # a pair whose sketches agree this many standard errors less than the limit lets expect is not verified
 SMALL = 1_000_000  # class numbers (8 bytes each) that are broadcast at most; beyond, texts are shuffled to them
 SALTS = random64(2, 5)
-DEEP = np.stack([np.argsort(random64(T, 1000 + b))[:DEEP_ROWS] for b in range(DEEP_BANDS)])
+DEEP = np.stack([np.argsort(random64(T, 1000 + b)) for b in range(DEEP_BANDS)])  # the first coordinates of each row are a band
 
 
 def sketch(hashes: np.ndarray, owners: np.ndarray, sets: int) -> np.ndarray:
@@ -92,10 +94,22 @@ def _class_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "d1 bigint, d2 bigint, text string").select(F.xxhash64("d1", "d2").alias("rep"), "text")
 
 
-def _bands(classes: DataFrame, deep: bool) -> DataFrame:
-    """(key, rep): the buckets of each class."""
-    chosen = DEEP if deep else np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
-    salt = random64(len(chosen), 77 + deep)
+def _missed(percent: int, bands: int, rows: int) -> float:
+    """Chance that a pair at the limit is equal in no band, over the numbers of the T coordinates in which it may agree."""
+    j = percent / 100
+    return sum(comb(T, x) * j**x * (1 - j) ** (T - x) * (1 - comb(x, rows) / comb(T, rows)) ** bands for x in range(T + 1))
+
+
+def _deep_rows(percent: int) -> int:
+    """Coordinates of a longer band: the most with which a pair at the limit is not missed more often than by the first bands."""
+    allowed = _missed(percent, BANDS, ROWS)
+    return max(r for r in range(ROWS, 4 * ROWS) if _missed(percent, DEEP_BANDS, r) <= allowed)
+
+
+def _bands(classes: DataFrame, deep: int = 0) -> DataFrame:
+    """(key, rep): the buckets of each class, of the longer bands if ``deep`` names their coordinates."""
+    chosen = DEEP[:, :deep] if deep else np.arange(BANDS * ROWS).reshape(BANDS, ROWS)
+    salt = random64(len(chosen), 77 + bool(deep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,9 +248,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = written(
         rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min(F.struct("sketch", "n")).alias("s"))
         .select("d1", "d2", "least", F.xxhash64("d1", "d2").alias("rep"), "s.sketch", "s.n"), "classes")
-    first = _buckets(_bands(classes, False), "buckets")
+    first = _buckets(_bands(classes), "buckets")
     hot = first.where(f"size > {FEW}").select("rep").distinct()
-    deep = _buckets(_bands(classes.join(hot, "rep", "left_semi"), True), "deep-buckets")
+    deep = _buckets(_bands(classes.join(hot, "rep", "left_semi"), _deep_rows(percent)), "deep-buckets")
     parted = first.where(f"size <= {FEW}").union(deep)
     likely = written(_likely(_stars(parted), classes, percent), "likely")
     found = written(components(_links(likely, docs, percent)), "components")
