@@ -55,3 +55,16 @@ def test_equals_all_windows(spark):
     assert clean.columns == frame.columns and clean.count() == sum(not x[1] for x in want)
     assert decontaminate(frame.limit(0), bench).count() == 0
     assert decontaminate(frame, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_passages_in_another_order(spark):
+    items = [(i, " ".join(f"{'abc'[i]}{k}" for k in range(m))) for i, m in enumerate((59, 100, 45))]
+    docs = []
+    for lead in ([], [f"y{k}" for k in range(70)]):
+        for _, text in items:
+            w = text.split()
+            docs.append((len(docs), " ".join(lead + w[len(w) // 2:] + w[:len(w) // 2] + [f"z{k}" for k in range(30)])))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.contaminated, r.n_items) for r in decontaminate(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    want = sorted((d, bool(x), len(x)) for d, t in docs for x in [brute(t, items)])
+    assert got == want and all(x[1] for x in want)

@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
 
-A window is as long as an item. It can only reach the similarity if it holds one of the item's shingles, so windows are laid
-where a document shares a shingle with an item, shifted as the shingle stands in the item; no other window can match. Fingerprints of
-windows and items of one length meet in a multi-index: radius + 1 blocks of bits, of which at least one is equal if at most
-``radius`` bits differ. Pairs within the radius are verified by the exact similarity of their weighted shingles.
+A window is as long as an item. It can only reach the similarity if it holds so many of the item's shingles, at whatever places of
+the item, as the limit asks of the item's own. Of such windows those are laid that start with a shared shingle, and those over the start of
+the text that end with one: any other can be moved to one of them without losing a shared shingle or gaining another, so
+none is more similar. Fingerprints of windows and items of one length meet in a multi-index: radius + 1 blocks of bits, of which at
+least one is equal if at most ``radius`` bits differ. Pairs within the radius are verified by the exact similarity of their weighted shingles.
 """
 
 from __future__ import annotations
@@ -66,6 +67,17 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 KEY = ["k1", "k2"]
 
 
+def window_starts(places: Column, m: Column, size: int, percent: int) -> Column:
+    """Starts of windows of m words worth a look, given the ascending places where a text has a shingle of the item."""
+    span = m - size + 1  # shingles of the item, and of a window inside the text
+    need = F.ceil(span * percent / 100).cast("int")
+    place = lambda i: F.get(places, i)
+    last = F.sequence(need - 1, F.size(places) - 1)
+    inside = F.transform(F.filter(last, lambda i: place(i) - place(i - need + 1) < span), lambda i: place(i - need + 1))
+    over = F.transform(F.filter(last, lambda i: place(i) < span - 1), lambda i: place(i) - span + 1)
+    return F.when(F.size(places) >= need, F.concat(inside, over)).otherwise(F.array().cast("array<int>"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Texts under a key of 96 bits, so that equal texts are judged once."""
     return docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
@@ -75,7 +87,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = 80,
     """k1, k2, item_id, similarity: the items that a text holds, by text."""
     items = written(item_table(benchmark), "items")
     sizes = [r.size for r in items.select(F.col("size")).distinct().collect()]  # five values at most
-    postings = written(items.select("item_id", "m", "size", F.posexplode("sh").alias("off", "h")), "postings").select("m", "size", "off", "h").distinct()
+    postings = written(items.select("item_id", "m", "size", F.explode("sh").alias("h")).distinct(), "postings")
     if (items.agg(F.sum(F.size("sh"))).first()[0] or 0) <= SMALL:
         postings = F.broadcast(postings)
     texts = _keyed(docs)
@@ -84,7 +96,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = 80,
     for size in sorted(sizes):
         parts = texts.select(*KEY, word_hashes("text").alias("words")).select(*KEY, F.posexplode(shingles(F.col("words"), size)).alias("pos", "h"))
         hits = parts.join(postings.where(F.col("size") == size), "h")
-        windows = written(hits.select(*KEY, (F.col("pos") - F.col("off")).alias("start"), "m").distinct(), "windows")
+        places = hits.groupBy(*KEY, "item_id", "m").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+        windows = written(places.select(*KEY, F.explode(window_starts(F.col("places"), F.col("m"), size, percent)).alias("start"), "m").distinct(), "windows")
         holders = texts.join(windows.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
         laid = holders.select(*KEY, word_hashes("text").alias("words")).join(windows, KEY)
         first = F.greatest(F.col("start"), F.lit(0))
