@@ -65,3 +65,25 @@ def test_edges(spark, model):
     got = extract(pages, model).collect()
     assert len(got) == 6 and next(r.text for r in got if r.page_id == 2) == "a & b cd\ne f\ng"
     assert extract(pages.limit(0), model).count() == 0
+
+
+def words(html):
+    return " ".join(text for _, text in Page(html).blocks())
+
+
+def test_unclosed_head():
+    assert words("<html><head><title>T</title><meta charset=x><article><p>some text</article></html>") == "some text"
+    assert words("<head><title>T</title><script>x</script>some text") == "some text"
+    assert words("<head><title>T</title><noscript><img></noscript><style>s</style></head><body>some text") == "some text"
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "noscript"])
+def test_unclosed_skipped_elements(tag):
+    assert words(f"<article><p>a</p><{tag}>no<p>b</p><p>c</p></article><p>d") == "a b c d"
+    assert words(f"<article><p>a</p><{tag}>no<div>no</div></{tag}><p>b</p></article>") == "a b"
+    assert words(f"<div>a<{tag}>no<div>b") == "a b"
+
+
+@pytest.mark.parametrize("tag", ["math", "svg", "object", "canvas", "video", "audio"])
+def test_text_inside_other_content(tag):
+    assert words(f"<article><p>a <{tag}>b</{tag}> c</p><{tag}>d<p>e</p></article>") == "a b c d e"

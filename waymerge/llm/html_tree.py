@@ -10,7 +10,8 @@ import numpy as np
 
 # fixed values: kinds of elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button title".split())
+SKIPPED = frozenset("head script style noscript template iframe select textarea button title".split())
+IN_HEAD = frozenset("title meta link style script base noscript template".split())
 GROUPS = {
     "main": "article main", "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside dialog", "form": "form fieldset label legend", "heading": "h1 h2 h3 h4 h5 h6 hgroup",
     "paragraph": "p blockquote pre", "item": "li dt dd", "list": "ul ol dl", "box": "div section center details summary address", "cell": "td th caption", "table": "table tbody thead tfoot tr",
@@ -61,26 +62,39 @@ class Run:
 
 
 class Page(HTMLParser):
-    """Block nodes (parents before children) and runs of text in page order, each run of one node."""
+    """Block nodes (parents before children) and runs of text in page order, each run of one node.
+
+    A skipped element without an end tag of its own ends at the next block, the head at what may not stand in it. Which elements
+    have no end tag shows at the end of a reading, so a page that has such is read again.
+    """
 
     def __init__(self, html: str):
+        self.unclosed: set[int] = set()  # numbers of their start tags
+        known = -1
+        while known < len(self.unclosed):
+            known = len(self.unclosed)
+            self._read(html)
+
+    def _read(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("body", -1, frozenset())]
-        self.stack: list[tuple[str, int]] = []  # open elements: tag, node of its own or -1
-        self.at, self.skipping, self.links = [0], 0, 0
+        self.stack: list[tuple[str, int, int]] = []  # open elements: tag, node of its own or -1, number of the start tag
+        self.at, self.skipping, self.links, self.tags = [0], 0, 0, 0
         self.runs: list[Run] = []
         self.open: dict[int, Run] = {}
         self.feed(html)
         self.close()
+        self._pop(0)
         for i in range(len(self.nodes) - 1, 0, -1):
             n, p = self.nodes[i], self.nodes[self.nodes[i].parent]
             p.letters += n.letters
             p.linked += n.linked
             p.stops += n.stops
 
-    def _pop(self, index: int) -> None:
-        """Close the open elements from ``index`` on."""
-        for tag, node in reversed(self.stack[index:]):
+    def _pop(self, index: int, ended: bool = False) -> None:
+        """Close the open elements from ``index`` on, the first of them by its end tag if ``ended``."""
+        self.unclosed |= {n for tag, _, n in self.stack[index + ended:] if tag in SKIPPED and tag != "head"}
+        for tag, node, _ in reversed(self.stack[index:]):
             if node >= 0:
                 self.open.pop(node, None)
                 self.at.pop()
@@ -93,11 +107,17 @@ class Page(HTMLParser):
         del self.stack[index:]
 
     def handle_starttag(self, tag, attrs):
+        self.tags += 1
+        if self.skipping:
+            if tag == "body":
+                self._pop(next((i for i, (t, _, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
+            elif tag in GROUP and tag != "html":
+                self._pop(next((i for i, (_, _, n) in enumerate(self.stack) if n in self.unclosed), len(self.stack)))
+            if tag not in IN_HEAD and tag not in ("head", "html"):
+                self._leave_head()
         if tag in VOID:
             self.handle_data(" ")
             return
-        if tag == "body" and self.skipping:
-            self._pop(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
         if tag in CLOSES_P and (i := self._last("p", {"table", "div", "article", "section", "li", "td"})) >= 0:
             self._pop(i)
         for peer in PEERS.get(tag, ()):
@@ -112,7 +132,7 @@ class Page(HTMLParser):
             self.nodes.append(Node(tag, self.at[-1], words, None if gold is None else int(gold)))
             node = len(self.nodes) - 1
             self.at.append(node)
-        self.stack.append((tag, node))
+        self.stack.append((tag, node, self.tags))
         self.links += tag == "a"
         self.skipping += tag in SKIPPED
 
@@ -121,6 +141,10 @@ class Page(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _leave_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._pop(len(self.stack) - 1)
+
     def _last(self, tag: str, fence: set[str]) -> int:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -132,10 +156,12 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                self._pop(i)
+                self._pop(i, True)
                 return
 
     def handle_data(self, data):
+        if self.skipping and data.strip():
+            self._leave_head()
         if self.skipping:
             return
         at = self.at[-1]
