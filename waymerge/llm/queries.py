@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html, langid, minhash, repeats, secrets, toxicity, urlfilter
+from . import bpe, decontaminate, fingerprint, html, langid, minhash, repeats, secrets, shards, toxicity, turns, urlfilter
 from .common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.digest(table(spark, sf_dir, "documents"))
