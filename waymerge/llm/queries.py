@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html, langid, minhash, repeats, secrets, shards, toxicity, turns, urlfilter
+from . import bpe, decontaminate, fingerprint, html, langid, minhash, repeats, secrets, shards, spelling, toxicity, turns, urlfilter
 from .common import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_sharding")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
