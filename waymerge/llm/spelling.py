@@ -227,7 +227,8 @@ def variants(vocabulary: DataFrame, times: int = 5, most_bytes: int = 256 << 20)
     A word without near words has n_near 0. An empty vocabulary gives no rows.
     """
     pairs = near_pairs(vocabulary, most_bytes)
-    both = pairs.select("word", "n", "other", "m").unionAll(pairs.select("other", "m", "word", "n"))
+    ways = F.array(F.struct("word", "n", "other", "m"), F.struct(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
+    both = pairs.select(F.inline(ways))
     best = F.min_by(F.struct("other", "m"), F.struct(-F.col("m"), F.col("other")))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     joined = vocabulary.join(near, "word", "left")
