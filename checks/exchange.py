@@ -62,6 +62,51 @@ def _(t):
     return files.read_saved_lists(t.spark, path).select("notes", "title", "address", "latitude", "longitude")
 
 
+def _saved_text(rows: list, style: int) -> str:
+    """A saved list as a person's export has it; one in two styles, with a line break in the second's header."""
+    quote = lambda x: "" if x is None else '"' + str(x).replace('"', '""') + '"'
+    if style == 0:
+        return "Title,Address,Note,URL\n" + "".join(f"{quote(r.title)},{quote(r.address)},{r.id},\n" for r in rows)
+    return '\n"Added\non",Comment,Name,location,Location\r\n' + "".join(f'"line\nbreak",{r.id},{quote(r.title)},x,{quote(r.address)}\r\n' for r in rows)
+
+
+def _archives(t):
+    """Zip archives of twenty places each: saved lists in two styles and a table that is no saved list."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out, rows = io.BytesIO(), list(part.astype(object).where(part.notna(), None).itertuples())
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for style in (0, 1):
+                z.writestr(f"Takeout/Saved/list{style}.csv", _saved_text([r for r in rows if r.page_id % 2 == style], style))
+            z.writestr("Takeout/other.csv", "Title\nnot saved\n")
+        return pd.DataFrame({"path": [f"export-{part.page_id.min() // 20}.zip"], "content": [out.getvalue()]})
+
+    rows = t["places"].select("page_id", "id", "title", "address", F.floor(F.col("page_id") / 20).alias("archive"))
+    return rows.groupBy("archive").applyInPandas(pack, "path string, content binary")
+
+
+@query("io2_archives", """
+    select id as notes, title, address, 'list' || (page_id % 2) as "listName", 'export-' || (page_id // 20) || '.zip' as archive from {places} where title <> ''""")
+def _(t):
+    places, _ = files.saved_archives(_archives(t))
+    return places.select("notes", "title", "address", "listName", F.split("ord.file", "!")[0].alias("archive"))
+
+
+@query("io2_mixed_headers", """select id as notes, title, address, case when title = '' then 1 else 0 end as untitled from {places} where title <> ''""")
+def _(t):
+    path = work_folder(t.spark, "mixed")
+    p = t["places"]
+    one = p.where("page_id % 2 = 0").select(F.col("title").alias("Title"), F.col("address").alias("Address"), F.col("id").alias("Note"))
+    two = p.where("page_id % 2 = 1").select(F.col("id").alias("Comment"), F.lit("line\nbreak").alias("Added\non"), F.col("address").alias("Location"), F.col("title").alias("Name"))
+    one.write.options(**_CSV).csv(f"{path}/Saved/one")
+    two.write.options(**_CSV).csv(f"{path}/Saved/two")
+    return files.read_saved_lists(t.spark, path).select("notes", "title", "address", F.lit(0).alias("untitled"))
+
+
 _LINK_SQL = """
     select page_id, case page_id % 7 when 0 then 'Cafe ' || lang || ' ' || n when 1 then 'Oak Street ' || n when 2 then 'Bar ' || lang || ' ' || n
           when 3 then 'Unnamed Place' when 4 then 'Big Park ' || n when 5 then 'Hotel ' || n end as title,
