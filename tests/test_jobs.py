@@ -159,11 +159,36 @@ def test_live_quota_over_batches_equals_replay(spark):
     ordered = sorted(rows, key=lambda r: (r[3], r[0]))
     parts = [ordered[:50], ordered[50:90], ordered[90:]]
     L.live_quota_verdicts(batches(spark, src, parts, schemas.CALLS), out).awaitTermination()
-    got = spark.read.parquet(f"{out}/verdicts").drop("epoch")
+    got = spark.read.parquet(f"{out}/verdicts")
     want = Q.quota_verdicts(spark.createDataFrame(rows, schemas.CALLS)).select(*got.columns)
     assert got.count() == 120 and got.exceptAll(want).count() == 0
 
 
+def test_quota_state_shrinks(spark):
+    """Counters of closed minutes and days go, also those of users who do not come back."""
+    many = [(f"a{i}", "free", f"u{i}", at(i % 50)) for i in range(60)]
+    few = [(f"b{d}", "premium", "late", at(5, day=d)) for d in (3, 4, 5)]
+    src, out = folder(), folder()
+    query = L.live_quota_verdicts(batches(spark, src, [many, *[[r] for r in few]], schemas.CALLS), out)
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) >= 120 and held[-1] < 20
+    assert spark.read.parquet(f"{out}/verdicts").count() == 63
+
+
+def test_windows_stay_open_and_late_rows_are_counted(spark):
+    parts = [[("1", "free", "u", at(0)), ("2", "free", "u", at(40))], [("3", "free", "u", at(1)), ("4", "free", "u", at(40, 30)), ("5", "free", "v", at(59))], [("6", "free", "u", at(59, 59))]]
+    src, out = folder(), folder()
+    for rows in parts:  # a run each, on one checkpoint: what a batch brings moves the watermark for the next but one, or for the next run
+        spark.createDataFrame(rows, schemas.CALLS).coalesce(1).write.mode("append").parquet(src)
+        query = L.live_usage_windows(spark.readStream.schema(schemas.CALLS).parquet(src), out)
+        query.awaitTermination()
+        L.note_arrivals(spark, query, out)
+    got = {(r.start.minute, r.userId): r["count"] for r in L.current_windows(spark, out, ["start", "end", "tier", "userId"]).collect()}
+    assert got == {(0, "u"): 1, (40, "u"): 2, (59, "v"): 1, (59, "u"): 1}
+    assert tuple(L.late_calls(spark, out).first()) == (6, 5, 1)
+
+
 def test_live_pack_progress_over_batches(spark):
     schema = "id string, packId string, status string, at timestamp"
     parts = [[("i1", "a", "pending", at(0)), ("i2", "a", "done", at(0)), ("i3", "b", "pending", at(0))], [("i1", "a", "done", at(1))]]
