@@ -121,6 +121,17 @@ def test_order_statistics(spark):
         assert r.medianTime == median and r.p95Time == s[-(-len(s) * 95 // 100) - 1]
 
 
+def test_order_statistics_of_long_tails(spark):
+    """Log-uniform values with a value of many copies: exact, and no slice keeps many of the distinct values."""
+    values = [10 ** (i / 700) for i in range(7000)] + [3.5] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    around = R.values_around_ranks(df, "v")
+    assert max(r["count"] for r in around.groupBy("s").count().collect()) <= 0.01 * len(set(values))
+    s = sorted(values)
+    r = R.order_statistics(df, "v").first()
+    assert (r.medianTime, r.p95Time) == ((s[len(s) // 2 - 1] + s[len(s) // 2]) / 2, s[-(-len(s) * 95 // 100) - 1])
+
+
 def test_calibration_top_bin(spark):
     m = spark.createDataFrame([(100, "accepted"), (95, "rejected")], "confidenceScore int, verificationStatus string")
     top = lambda closed: R.confidence_calibration(m, closed).where("rangeLow = 90").first().actualAccuracy

@@ -251,51 +251,56 @@ def performance_events(events: DataFrame) -> DataFrame:
     return parsed_events(events.where(F.col("type") == "performance_metric"))
 
 
-def order_statistics(df: DataFrame, value: str, slices: int = 1024) -> DataFrame:
-    """One row: mean, exact interpolated median and nearest-rank 95th percentile.
+WANTED = ("mid_a", "mid_b", "p95")
 
-    Spark's exact percentile keeps every distinct value in one task. Here values are
-    counted in ``slices`` equal-width slices, then again inside the slices that hold
-    the wanted ranks; only the distinct values of those narrow slices are ordered.
+
+def _next_slices(rows: DataFrame, slices: int) -> DataFrame:
+    """Cut each slice of (s, v, n, before, ranks) at approximate quantiles of its distinct values and keep the parts that hold a wanted rank.
+
+    There are no more slices than wanted ranks, so their cuts and totals are a few rows.
+    """
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = rows.groupBy("s").agg(F.percentile_approx("v", shares, 10_000).alias("cuts"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    parted = rows.join(F.broadcast(cuts), "s").withColumn("part", below).drop("cuts")
+    sums = parted.groupBy("s", "part").agg(F.sum("n").alias("total"), *[F.first(c).alias(c) for c in ("before", *WANTED)])
+    earlier = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("start", F.col("before") + F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    holds = F.lit(False)
+    for r in WANTED:
+        holds = holds | ((F.col(r) > F.col("start")) & (F.col(r) <= F.col("start") + F.col("total")))
+    chosen = placed.where(holds).select("s", "part", "start")
+    return (
+        parted.join(F.broadcast(chosen), ["s", "part"])
+        .select((F.col("s") * slices + F.col("part")).alias("s"), "v", "n", F.col("start").alias("before"), *WANTED, "mean")
+    )
+
+
+def values_around_ranks(df: DataFrame, value: str, slices: int = 64) -> DataFrame:
+    """The few values among which the median and the 95th percentile lie: (s, v, n, before, mid_a, mid_b, p95, mean).
+
+    ``before`` counts the rows below slice ``s``. Cuts come from a quantile sketch of the distinct values, twice, so a slice
+    has about one in ``slices`` squared of them, however the values are spread.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"),
-                      F.sum(F.col("v") * F.col("n")).alias("weight"))
-    ranks = span.select(
-        "lo", "hi", "total", (F.col("weight") / F.col("total")).alias("mean"),
+    total = counts.agg(F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("weight"))
+    ranks = total.select(
         F.floor((F.col("total") + 1) / 2).alias("mid_a"), (F.floor(F.col("total") / 2) + 1).alias("mid_b"),
-        F.greatest(F.ceil(F.col("total") * F.lit(95) / F.lit(100)), F.lit(1)).alias("p95"),
+        F.greatest(F.ceil(F.col("total") * F.lit(95) / F.lit(100)), F.lit(1)).alias("p95"), (F.col("weight") / F.col("total")).alias("mean"),
     )
+    # one scalar subquery carries the ranks
+    known = ranks.select(F.struct(*WANTED, "mean").alias("r")).scalar()
+    rows = counts.select(F.lit(0).alias("s"), "v", "n", F.lit(0).cast("bigint").alias("before"), known.alias("r")).select("s", "v", "n", "before", "r.*")
+    return _next_slices(_next_slices(rows, slices), slices)
 
-    def narrowed(rows: DataFrame, width: Column, out: str, keys: list[str]) -> DataFrame:
-        """Slice rows of (lo, hi, v, n, before, ranks) and keep slices that hold a wanted rank."""
-        spread = F.col("hi") - F.col("lo")
-        slot = F.when(spread > 0, F.least(F.lit(slices - 1), F.floor((F.col("v") - F.col("lo")) / spread * slices))).otherwise(0)
-        sliced = rows.withColumn(out, slot.cast("int"))
-        sums = sliced.groupBy(*keys, out).agg(
-            F.sum("n").alias("n"), F.min("v").alias("slice_lo"), F.max("v").alias("slice_hi"),
-            F.first("before").alias("base"), F.first("mid_a").alias("mid_a"), F.first("mid_b").alias("mid_b"), F.first("p95").alias("p95"))
-        order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        order = order.orderBy(out).rowsBetween(Window.unboundedPreceding, -1)
-        placed = sums.withColumn("start", F.col("base") + F.coalesce(F.sum("n").over(order), F.lit(0)))
-        wanted = F.lit(False)
-        for r in ("mid_a", "mid_b", "p95"):
-            wanted = wanted | ((F.col(r) > F.col("start")) & (F.col(r) <= F.col("start") + F.col("n")))
-        chosen = placed.where(wanted).select(*keys, out, "start", "slice_lo", "slice_hi")
-        return (
-            sliced.join(chosen, [*keys, out])
-            .withColumns({"before": F.col("start"), "lo": F.col("slice_lo"), "hi": F.col("slice_hi")})
-            .drop("start", "slice_lo", "slice_hi")
-        )
 
-    # one scalar subquery carries every bound
-    bounds = ranks.select(F.struct("lo", "hi", "mid_a", "mid_b", "p95", "mean").alias("r")).scalar()
-    rows = counts.select("v", "n", bounds.alias("r")).select(
-        "v", "n", "r.lo", "r.hi", F.lit(0).cast("bigint").alias("before"), "r.mid_a", "r.mid_b", "r.p95", "r.mean")
-    rows = narrowed(rows, F.lit(slices), "s1", [])
-    rows = narrowed(rows, F.lit(slices), "s2", ["s1"])
-    order = Window.partitionBy("s1", "s2").orderBy("v")
-    placed = rows.withColumn("upto", F.col("before") + F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def order_statistics(df: DataFrame, value: str, slices: int = 64) -> DataFrame:
+    """One row: mean, exact interpolated median and nearest-rank 95th percentile; zeros without values.
+
+    Spark's exact percentile keeps every distinct value in one task. Here only the values around the wanted ranks are ordered.
+    """
+    order = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values_around_ranks(df, value, slices).withColumn("upto", F.col("before") + F.sum("n").over(order))
     hit = lambda r: F.max(F.when((F.col(r) <= F.col("upto")) & (F.col(r) > F.col("upto") - F.col("n")), F.col("v")))
     found = placed.agg(hit("mid_a").alias("a"), hit("mid_b").alias("b"), hit("p95").alias("p95"), F.max("mean").alias("mean"))
     return found.select(
