@@ -126,7 +126,7 @@ def test_order_statistics_of_long_tails(spark):
     values = [10 ** (i / 700) for i in range(7000)] + [3.5] * 500
     df = spark.createDataFrame([(v,) for v in values], "v double")
     around = R.values_around_ranks(df, "v")
-    assert max(r["count"] for r in around.groupBy("s").count().collect()) <= 0.01 * len(set(values))
+    assert max(r["count"] for r in around.groupBy("s").count().collect()) <= 0.02 * len(set(values))
     s = sorted(values)
     r = R.order_statistics(df, "v").first()
     assert (r.medianTime, r.p95Time) == ((s[len(s) // 2 - 1] + s[len(s) // 2]) / 2, s[-(-len(s) * 95 // 100) - 1])
@@ -183,7 +183,7 @@ def test_quota_state_shrinks(spark):
     query = L.live_quota_verdicts(batches(spark, src, [many, *[[r] for r in few]], schemas.CALLS), out)
     query.awaitTermination()
     held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
-    assert max(held) >= 120 and held[-1] < 20
+    assert max(held) >= 60 and held[-1] < 20
     assert spark.read.parquet(f"{out}/verdicts").count() == 63
 
 
@@ -261,3 +261,31 @@ def test_live_jobs_with_snapshots(spark, monkeypatch):
     library = with_dedupe_keys(spark.createDataFrame([("C", "x")], "title string, address string"))
     L.live_import(batches(spark, src, rows, "ord int, title string, address string"), library, out, "ord").awaitTermination()
     assert sorted(r.ord for r in spark.read.parquet(f"{out}/rows").collect()) == [0, 1, 5, 6, 7]
+
+
+def test_half_of_all_rows_in_one_key(spark):
+    """Hot hour, day and minute: cut into slices, with the same result, and no slice holds many of their rows."""
+    from waymerge.operators import quota
+
+    hot = [(f"{i:04}", "free", "hot", at(7) + dt.timedelta(microseconds=int((i / 600) ** 3 * 59e6))) for i in range(600)]
+    calls = spark.createDataFrame(hot + [(f"c{i:03}", "premium", f"u{i % 9}", at(i % 50, i % 60)) for i in range(500)], schemas.CALLS)
+    plain, cut = quota.running_counts(calls), quota.running_counts(calls, most=100)
+    assert cut.count() == 1100 and cut.exceptAll(plain.select(*cut.columns)).count() == 0
+    sliced = W.with_slices(calls, ["tier"], F.col("ts"))
+    assert max(r["count"] for r in sliced.groupBy("tier", "__slice").count().collect()) <= 30
+    last = [W.keep_last_per_key(calls, ["tier"], "ts", "callId", 70, most=m) for m in (100, 10**6)]
+    want = sorted((r[3], r[0]) for r in hot)[-70:]
+    assert sorted((r.ts, r.callId) for r in last[0].where("tier = 'free'").collect()) == want
+    assert last[0].exceptAll(last[1]).count() == 0 and last[0].count() == last[1].count() == 140
+    entries = calls.select(F.col("callId").alias("key"), (F.length("callId") * 10).cast("bigint").alias("size"), F.col("ts").alias("lastAccessedAt"),
+                           F.lit(at(59)).alias("expiresAt"))
+    for size, n in ((10_000, 10**6), (10**9, 333)):
+        kept = [sorted(r.key for r in W.retain_within_budget(entries, F.lit(at(0)), size, n, most=m).collect()) for m in (100, 10**6)]
+        order, budget = sorted(entries.collect(), key=lambda r: (-r.lastAccessedAt.timestamp(), r.key)), 0
+        want = []
+        for r in order:
+            budget += r["size"]
+            if budget > size or len(want) == n:
+                break
+            want.append(r.key)
+        assert kept == [sorted(want)] * 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.dates import seconds_to_next_day
-from .windows import top_k
+from .windows import HOT_ROWS, running_sums, top_k
 
 # --- fixed values -----------------------------------------------------------
 # tier: places per session, batch size, day cap, minute cap.
@@ -40,16 +40,17 @@ def verdict_columns(day_count: Column, minute_count: Column, ts: Column) -> dict
     }
 
 
-def running_counts(calls: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def running_counts(calls: DataFrame, prior: DataFrame | None = None, most: int = HOT_ROWS) -> DataFrame:
     """Calls (callId, tier, userId, ts) with their running day and minute counts.
 
     Two levels: calls are numbered inside (tier, user, minute); the minutes of a day are
-    counted by an aggregate and summed. A user with very many calls is spread over minutes,
-    and a refused call still counts. ``prior`` holds counts of earlier calls (tier, userId, minute, n).
+    counted by an aggregate and summed. A user with very many calls is spread over minutes, a minute
+    of more than ``most`` calls over slices of it, and a refused call still counts. ``prior`` holds counts of earlier calls (tier, userId, minute, n).
     """
     keys = ["tier", "userId"]
     timed = calls.withColumn("minute", F.date_trunc("minute", "ts"))
-    per = timed.groupBy(*keys, "minute").agg(F.count(F.lit(1)).alias("n")).withColumn("old", F.lit(0).cast("bigint"))
+    counted = timed.groupBy(*keys, "minute").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.withColumn("old", F.lit(0).cast("bigint"))
     if prior is not None:
         per = per.unionByName(
             prior.select(*keys, "minute", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("old"))
@@ -61,9 +62,9 @@ def running_counts(calls: DataFrame, prior: DataFrame | None = None) -> DataFram
         "__day_before": F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.sum("old").over(day),
         "__minute_before": F.col("old"),
     }).where(F.col("n") > 0).drop("n", "old")
-    order = Window.partitionBy(*keys, "minute").orderBy("ts", "callId")
+    order = [F.col("ts"), F.col("callId")]
     return (
-        timed.withColumn("__rn", F.row_number().over(order)).join(per, [*keys, "minute"])
+        running_sums(timed, [*keys, "minute"], "ts", order, {"__rn": F.lit(1)}, counted, most=most).join(per, [*keys, "minute"])
         .withColumns({
             "dayCount": F.col("__rn") + F.col("__day_before"), "minuteCount": F.col("__rn") + F.col("__minute_before")})
         .drop("__rn", "__day_before", "__minute_before")

@@ -279,8 +279,8 @@ def _next_slices(rows: DataFrame, slices: int) -> DataFrame:
 def values_around_ranks(df: DataFrame, value: str, slices: int = 64) -> DataFrame:
     """The few values among which the median and the 95th percentile lie: (s, v, n, before, mid_a, mid_b, p95, mean).
 
-    ``before`` counts the rows below slice ``s``. Cuts come from a quantile sketch of the distinct values, twice, so a slice
-    has about one in ``slices`` squared of them, however the values are spread.
+    ``before`` counts the rows below slice ``s``. Cuts come from a quantile sketch of the distinct values, so a slice
+    has about one in ``slices`` of them, however the values are spread.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("weight"))
@@ -291,7 +291,7 @@ def values_around_ranks(df: DataFrame, value: str, slices: int = 64) -> DataFram
     # one scalar subquery carries the ranks
     known = ranks.select(F.struct(*WANTED, "mean").alias("r")).scalar()
     rows = counts.select(F.lit(0).alias("s"), "v", "n", F.lit(0).cast("bigint").alias("before"), known.alias("r")).select("s", "v", "n", "before", "r.*")
-    return _next_slices(_next_slices(rows, slices), slices)
+    return _next_slices(rows, slices)
 
 
 def order_statistics(df: DataFrame, value: str, slices: int = 64) -> DataFrame:

@@ -16,34 +16,47 @@ _DAY, _MINUTE = 86_400_000, 60_000
 
 
 class QuotaCounter(StatefulProcessor):
-    """Per (tier, user): calls of each open day and minute.
+    """Per (tier, user): calls of each open day and minute, as one small value.
 
-    A timer stands at the end of every day and minute that has a counter; when the watermark passes it, no call of that
-    time can come any more and the counter goes. So the state holds open minutes and days only, also of users who never call again.
+    Days and minutes that end ``late`` before the user's newest call go at once, since calls as late as that are not counted; timers at the ends of
+    the newest minute and day clear what is left, also of users who never call again. So the state holds open minutes and days only.
     """
 
+    def __init__(self, late_ms: int) -> None:
+        self.late_ms = late_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = {_DAY: handle.getMapState("days", "start bigint", "n bigint"), _MINUTE: handle.getMapState("minutes", "start bigint", "n bigint")}
+        self.open = handle.getValueState("open", "widths array<bigint>, starts array<bigint>, counts array<bigint>")
+
+    def _held(self) -> dict[tuple[int, int], int]:
+        held = self.open.get()
+        return {} if held is None else {(int(w), int(s)): int(n) for w, s, n in zip(*held)}
+
+    def _keep(self, held: dict[tuple[int, int], int], until: int) -> None:
+        left = [(w, s, n) for (w, s), n in sorted(held.items()) if s + w > until]
+        if left:
+            self.open.update(tuple(list(x) for x in zip(*left)))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "callId"], ignore_index=True)
         stamp = calls["ts"].astype("datetime64[us]").astype("int64") // 1000
+        calls, stamp = calls[stamp >= timerValues.getCurrentWatermarkInMs()], stamp[stamp >= timerValues.getCurrentWatermarkInMs()]
+        if calls.empty:
+            return
+        held, newest = self._held(), int(stamp.max())
         for width, column in ((_DAY, "dayCount"), (_MINUTE, "minuteCount")):
-            start, held = stamp // width * width, self.counts[width]
-            before = {s: held.getValue((s,))[0] if held.containsKey((s,)) else 0 for s in start.unique().tolist()}
-            calls[column] = start.groupby(start).cumcount() + 1 + start.map(before)
-            for s, n in calls.groupby(start)[column].max().items():
-                held.updateValue((int(s),), (int(n),))
-                if not before[s]:
-                    self.handle.registerTimer(int(s) + width)
+            start = stamp // width * width
+            calls[column] = start.groupby(start).cumcount() + 1 + start.map(lambda s: held.get((width, s), 0))
+            held.update({(width, int(s)): int(n) for s, n in calls.groupby(start)[column].max().items() if s + width > newest - self.late_ms})
+            self.handle.registerTimer(newest // width * width + width)
+        self._keep(held, newest - self.late_ms)
         yield calls[["callId", "tier", "userId", "ts", "dayCount", "minuteCount"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        for width, held in self.counts.items():
-            if held.containsKey((end - width,)):
-                held.removeKey((end - width,))
+        self._keep(self._held(), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:
@@ -51,9 +64,10 @@ class QuotaCounter(StatefulProcessor):
 
 
 def counted_calls(calls: DataFrame, late: str) -> DataFrame:
-    """Streaming calls (callId, tier, userId, ts) with their running day and minute counts (UTC days)."""
+    """Streaming calls (callId, tier, userId, ts) with their running day and minute counts (UTC days); later ones than the watermark are dropped."""
+    late_ms = int(pd.Timedelta(late).total_seconds() * 1000)
     keyed = calls.select("callId", "tier", "userId", "ts").withWatermark("ts", late).groupBy("tier", "userId")
-    return keyed.transformWithStateInPandas(QuotaCounter(), outputStructType=COUNTED, outputMode="Append", timeMode="EventTime")
+    return keyed.transformWithStateInPandas(QuotaCounter(late_ms), outputStructType=COUNTED, outputMode="Append", timeMode="EventTime")
 
 
 def judged_calls(calls: DataFrame, late: str) -> DataFrame:
