@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from waymerge.functions import address as A, category as C, dates as D, geo as G, text as T, urls as U
 from waymerge.functions.numbers import leading_number, pct_change, round_half_up
 from waymerge.operators import filters
-from waymerge.operators.matching import normalized_records
+from waymerge.operators.records import normalize_records
 
 from . import duck as d
 from .registry import query
@@ -305,9 +305,41 @@ def _(t):
     return filters.validate_candidates(t["candidates"]).select("id", "valid", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("normalize_records", f"""
-    with src as (select id, title, address, category from {{places}}), {_canonical_sql('category', 'src', 'id')}
-    select s.id, {d.canonical_name('title')} as name, {d.canonical_address('address')} as addr, canonical
-    from src s join canon on key = id""")
+def _records_sql(source: str, title: str, category: str) -> str:
+    return f"""
+    with src as (select id, {title} as title, address, latitude as lat, longitude as lng, {category} as category from {source}), {_canonical_sql('category', 'src', 'id')},
+    {d.address_parts('src', 'id', 'address', 'x')},
+    w as (select id, {d.canonical_name('title')} as n, list_filter(string_split_regex({d.canonical_name('title')}, '\\s+'), lambda z: length(z) >= 2) as w from src),
+    one as (select id, n as token from w union select id, unnest(w) from w
+            union select id, array_to_string(w[i:j], ' ') from w, range(1, 60) r(i), range(1, 60) s(j)
+                  where i < len(w) and j >= i and j <= len(w) and length(array_to_string(w[i:j], ' ')) >= 3),
+    tok as (select id, count(*) as tokens, string_agg(token, '|' order by token) as joined from one group by id),
+    p as (select s.*, lat is not null and lng is not null as given, lat between -90 and 90 and lng between -180 and 180 as ok,
+        greatest(case when contains(cast(lat as string), '.') and split_part(cast(lat as string), '.', 2) <> '0' then length(split_part(cast(lat as string), '.', 2)) else 0 end,
+                 case when contains(cast(lng as string), '.') and split_part(cast(lng as string), '.', 2) <> '0' then length(split_part(cast(lng as string), '.', 2)) else 0 end) as digits,
+        {d.canonical_name('title')} as nm, {d.canonical_address('address')} as ad from src s)
+    select p.id, nm as name, ad as address, case when given and ok then floor(lat * 1000000 + 0.5) / 1000000 end as latitude,
+        case when given and ok then floor(lng * 1000000 + 0.5) / 1000000 end as longitude,
+        case when given and ok then case when digits >= 5 then 'exact' when digits >= 3 then 'approximate' when digits >= 1 then 'city' else 'region' end end as precision,
+        canonical as category, number, street, city, region, country, postal, tokens, joined,
+        concat_ws(',', case when nm <> {d.trimmed('lower(title)')} then 'name_normalized' end, case when ad <> {d.trimmed('lower(address)')} then 'address_normalized' end,
+            case when given and not ok then 'invalid_coordinates' end, case when coalesce(p.category, '') <> '' and canonical <> lower(p.category) then 'category_normalized' end) as flags,
+        p.title as title, p.category as raw_category
+    from p join canon on key = p.id join xparts x on x.key = p.id join tok on tok.id = p.id"""
+
+
+def _flat(records):
+    return records.select(
+        "id", "name", "address", "coordinates.latitude", "coordinates.longitude", "coordinates.precision", "category", "components.*", F.size("tokens").alias("tokens"),
+        F.array_join(F.array_sort("tokens"), "|").alias("joined"), F.array_join("flags", ",").alias("flags"), "original.title",
+        F.col("original.category").alias("raw_category"))
+
+
+@query("normalize_records", _records_sql("{places}", "title", "category"))
+def _(t):
+    return _flat(normalize_records(t["places"], "title", F.col("category")))
+
+
+@query("normalize_candidate_records", _records_sql("{candidates}", "name", "category"))
 def _(t):
-    return normalized_records(t["places"], "title", F.col("category")).select("id", "name", "addr", "canonical")
+    return _flat(normalize_records(t["candidates"], "name", F.col("category")))

@@ -113,3 +113,19 @@ def test_links(spark):
     parsed = one(spark, U.parse_map_url, "https://www.google.com/maps/place/Big+Park/@41.5,-71.25,15z")
     assert (parsed.title, parsed.latitude, parsed.longitude) == ("Big Park", 41.5, -71.25)
     assert one(spark, U.parse_map_url, "https://example.org/x") is None
+
+
+def test_whole_records_in_three_forms(spark):
+    from pyspark.sql import functions as F
+
+    from waymerge.operators.records import normalize_records
+
+    rows = [("1", "The Blue Door LLC", "12 Main St., Paris, 75001", 1.5, 2.25, ["Fast Food"]), ("2", "plain", "", None, 2.0, []), ("3", None, None, 95.0, 2.0, None), ("4", "x", "y", 0.0, 0.0, ["restaurant"])]
+    df = spark.createDataFrame(rows, "id string, title string, address string, latitude double, longitude double, tags array<string>")
+    got = {p: {r.id: r for r in normalize_records(df, "title", F.get("tags", F.lit(0)), p).collect()} for p in ("canonical", "matcher", "provider")}
+    one = got["canonical"]["1"]
+    assert (one.name, one.components.city, one.components.postal, one.coordinates.precision) == ("the blue door", "Paris", "75001", "city")
+    assert one.flags == ["name_normalized", "address_normalized", "category_normalized"] and "blue door" in one.tokens and one.original.title == "The Blue Door LLC"
+    assert got["matcher"]["1"].address == "12 main street, paris, 75001" and got["provider"]["1"].name == "The Blue Door" and got["provider"]["1"].address.startswith("12 Main Street")
+    assert [got["canonical"][k].flags for k in "234"] == [[], ["invalid_coordinates"], ["invalid_coordinates"]]
+    assert got["canonical"]["2"].coordinates is None and got["canonical"]["3"].name == ""
