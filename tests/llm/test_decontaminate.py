@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from waymerge.llm.decontaminate import decontaminate, keep_clean
+from pyspark.sql import functions as F
+
+from waymerge.llm.decontaminate import decontaminate, keep_clean, simhash
 
 
 def sh(words, size):
@@ -68,3 +70,26 @@ def test_passages_in_another_order(spark):
     got = sorted((r.doc_id, r.contaminated, r.n_items) for r in decontaminate(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect())
     want = sorted((d, bool(x), len(x)) for d, t in docs for x in [brute(t, items)])
     assert got == want and all(x[1] for x in want)
+
+
+def test_simhash(spark):
+    """Few and many features, with repeats, against a count of each bit."""
+    rng = random.Random(6)
+    lists = [[], [5], [-1, -1, 0]] + [[rng.randrange(-2**63, 2**63) for _ in range(n)] for n in (2, 7, 56, 127, 128, 700, 32_767, 32_768)] + [[rng.randrange(-2**63, 2**63)] * 127, [-1] * 127, [-1] * 32_767]
+    got = [r.h for r in spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<bigint>").coalesce(1).select("i", simhash(F.col("x")).alias("h")).orderBy("i").collect()]
+    want = []
+    for xs in lists:
+        bits = sum((2 * sum(x >> b & 1 for x in xs) > len(xs)) << b for b in range(64))
+        want.append(bits - (1 << 64) if bits >> 63 else bits)
+    assert got == want
+
+
+def test_long_text_with_many_windows(spark):
+    """A text of many regions, in which one item repeats."""
+    items = [(1, " ".join(f"k{i}" for i in range(30))), (2, "aa bb cc dd ee ff gg hh")]
+    words = [f"n{i % 977}" for i in range(30_000)]
+    for at in (0, 4_090, 12_000, 29_990):
+        words[at:at + 30] = items[0][1].split()
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:40])), (3, " ".join(words[4_000:4_085]))], "doc_id bigint, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, r.item_id) for r in decontaminate(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {1: (True, 1, 1), 2: (True, 1, 1), 3: (False, 0, None)}

@@ -3,7 +3,7 @@
 A window is as long as an item. It can only reach the similarity if it holds so many of the item's shingles, at whatever places of
 the item, as the limit asks of the item's own. Of such windows those are laid that start with a shared shingle, and those over the start of
 the text that end with one: any other can be moved to one of them without losing a shared shingle or gaining another, so
-none is more similar. Fingerprints of windows and items of one length meet in a multi-index: radius + 1 blocks of bits, of which at
+none is more similar. Fingerprints of windows and of the items they were laid for meet in a multi-index: radius + 1 blocks of bits, of which at
 least one is equal if at most ``radius`` bits differ. Pairs within the radius are verified by the exact similarity of their weighted shingles.
 """
 
@@ -32,12 +32,31 @@ def shingles(words: Column, size: int) -> Column:
 
 
 def simhash(features: Column) -> Column:
-    """64 bits: the sign, over all features with their multiplicity, of each hash bit."""
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(features, F.lit(0), lambda n, x: n + F.call_function("shiftright", x, b).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(2 * ones > F.size(features), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+    """64 bits: the sign, over all features with their multiplicity, of each hash bit.
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
+    Bits are counted side by side in a few sums, eight of them with a byte for each count (up to 127 features) or sixteen with two (up to 32767); beyond, bit by bit.
+    """
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, n)
+
+    def signed(ones) -> Column:
+        bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(2 * ones(b) > F.size(features), F.call_function("shiftleft", one, b)).otherwise(zero))
+        return F.aggregate(bits, zero, lambda a, x: a.bitwiseOR(x))
+
+    def packed(width: int) -> Column:
+        lanes = F.lit(sum(1 << at for at in range(0, 64, width))).cast("bigint")
+
+        def summed(j: int) -> Column:
+            return F.aggregate(features, zero, lambda n, x: n + right(x, F.lit(j)).bitwiseAND(lanes))
+
+        def read(sums: Column) -> Column:
+            return signed(lambda b: right(F.get(sums, b % width), (F.floor(b / width) * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1)))
+
+        # the sums are made once and then read for each bit
+        return F.get(F.transform(F.array(F.array(*[summed(j) for j in range(width)])), read), F.lit(0))
+
+    counted = signed(lambda b: F.aggregate(features, F.lit(0), lambda n, x: n + right(x, b).bitwiseAND(F.lit(1)).cast("int")))
+    return F.when(F.size(features) < 128, packed(8)).when(F.size(features) < 32768, packed(16)).otherwise(counted)
 
 
 def _blocks(fingerprint: str, radius: int) -> Column:
@@ -65,6 +84,8 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 KEY = ["k1", "k2"]
+WINDOW = [*KEY, "m", "start"]
+REGION = 4096  # words
 
 
 def window_starts(places: Column, m: Column, size: int, percent: int) -> Column:
@@ -83,6 +104,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), "text")
 
 
+def _width(df: DataFrame) -> int:
+    """Tasks for a step that computes much on few bytes, which merging small partitions at run time would leave to a few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _window_prints(texts: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """k1, k2, m, start, own (the window's shingles), wfp: every window once, cut from its text before it moves.
+
+    The windows of a text are cut in groups of those that start within REGION words of each other.
+    """
+    region = F.floor(F.col("start") / REGION)
+    groups = links.select(*WINDOW).distinct().groupBy(*KEY, region.alias("region")).agg(F.collect_list(F.struct("m", "start")).alias("ws"))
+    holders = texts.join(links.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
+
+    def cut(w: Column) -> Column:
+        first = F.greatest(w["start"], F.lit(0))
+        return F.struct(w["m"].alias("m"), w["start"].alias("start"), F.slice("words", first + 1, w["start"] + w["m"] - first).alias("own"))
+
+    split = holders.select(*KEY, word_hashes("text").alias("words")).join(groups, KEY)
+    cuts = split.select(*KEY, F.explode(F.transform("ws", cut)).alias("w")).select(*KEY, "w.*")
+    spread = cuts.repartition(_width(cuts), *WINDOW).select(*WINDOW, shingles(F.col("own"), size).alias("own"))
+    return spread.withColumn("wfp", simhash(F.col("own")))
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS) -> DataFrame:
     """k1, k2, item_id, similarity: the items that a text holds, by text."""
     items = written(item_table(benchmark), "items")
@@ -97,15 +142,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = 80,
         parts = texts.select(*KEY, word_hashes("text").alias("words")).select(*KEY, F.posexplode(shingles(F.col("words"), size)).alias("pos", "h"))
         hits = parts.join(postings.where(F.col("size") == size), "h")
         places = hits.groupBy(*KEY, "item_id", "m").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-        windows = written(places.select(*KEY, F.explode(window_starts(F.col("places"), F.col("m"), size, percent)).alias("start"), "m").distinct(), "windows")
-        holders = texts.join(windows.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
-        laid = holders.select(*KEY, word_hashes("text").alias("words")).join(windows, KEY)
-        first = F.greatest(F.col("start"), F.lit(0))
-        own = F.slice("words", first + 1, F.col("start") + F.col("m") - first)
-        laid = laid.select(*KEY, "m", own.alias("own")).select(*KEY, "m", shingles(F.col("own"), size).alias("own")).distinct()
-        laid = laid.withColumn("wfp", simhash(F.col("own"))).withColumn("b", F.explode(_blocks("wfp", radius)))
-        targets = items.where(F.col("size") == size).withColumn("b", F.explode(_blocks("fp", radius)))
-        near = laid.join(targets, ["m", "b"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius).select(*KEY, "item_id", "own", "sh").distinct()
+        links = written(places.select(*KEY, "item_id", "m", F.explode(window_starts(F.col("places"), F.col("m"), size, percent)).alias("start")), "windows")
+        laid = written(_window_prints(texts, links, size), "prints")
+        # a window meets the items it was laid for, on the blocks that its fingerprint shares with theirs
+        blocked = links.join(laid.select(*WINDOW, "wfp"), WINDOW).withColumn("b", F.explode(_blocks("wfp", radius)))
+        targets = items.where(F.col("size") == size).select("item_id", "fp", F.explode(_blocks("fp", radius)).alias("b"))
+        near = blocked.join(targets, ["item_id", "b"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius).select(*WINDOW, "item_id").distinct()
+        near = near.join(laid.select(*WINDOW, "own"), WINDOW).join(items.select("item_id", "sh"), "item_id").select(*KEY, "item_id", "own", "sh").distinct()
+        near = near.repartition(_width(near), *KEY, "item_id", "own")
         least, greatest = weights_shared(F.col("own"), F.col("sh"))
         exact = near.select(*KEY, "item_id", least.alias("least"), greatest.alias("greatest")).where(100 * F.col("least") >= percent * F.col("greatest"))
         found = found.union(exact.select(*KEY, "item_id", (F.col("least") / F.col("greatest")).alias("similarity")))
