@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymerge.plans.storage import written
+
 from .common import slices, widened
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 GRADES = 3
+SAMPLE = 50_000  # labelled rows that a model learns from
 
 
 def terms(text: str) -> Counter:
@@ -38,7 +41,7 @@ def terms(text: str) -> Counter:
 def select_features(labelled: DataFrame, most: int = 4096, least_docs: int = 5, z: float = 6.0) -> list[str]:
     """The terms whose share among toxic texts exceeds that among others by ``z`` standard errors, strongest first.
 
-    Document counts cover all labelled rows; ``most`` bounds the vocabulary, ``least_docs`` the toxic texts a term needs.
+    Document counts cover all rows given; ``most`` bounds the vocabulary, ``least_docs`` the toxic texts a term needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +85,10 @@ def _vector(text: str, index: dict[str, int]) -> list[int]:
     return [i for term in terms(text) if (i := index.get(term)) is not None]
 
 
-def fit(labelled: DataFrame, sample: int = 20_000, steps: int = 800, l2: float = 1e-3, **selection) -> Ordinal:
-    """Fit on (doc_id, text, grade). Features are chosen over all labelled rows; weights are fitted on a bounded sample, the
-    ``sample`` rows that come first by hash of doc_id, of which the driver gets the grade and the few chosen features only. Without both
+def fit(labelled: DataFrame, sample: int = SAMPLE, steps: int = 800, l2: float = 1e-3, **selection) -> Ordinal:
+    """Fit on (doc_id, text, grade). Features are chosen over all rows given; weights are fitted on the
+    ``sample`` rows that come first by hash, of which the driver gets the grade and the few chosen features only. The second threshold has no labels of its
+    own: grade 2 is read from the number of a toxic text's telling terms, so it grades how strongly the features speak, not a judged severity. Without both
     toxic and other rows the model has no features and calls nothing toxic."""
     features = select_features(labelled, **selection)
     index = {f: i for i, f in enumerate(features)}
@@ -137,8 +141,13 @@ def grades(labels: DataFrame) -> DataFrame:
     return known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("grade"))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(grades(labels), "doc_id")
+def labelled_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, grade) of the bounded sample that a model learns from: the ``sample`` labelled doc_ids that come first by hash.
+
+    Their list (12 bytes each) is broadcast, so texts do not move; the sample's texts are written once.
+    """
+    chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "labelled")
 
 
 def score(docs: DataFrame, model: Ordinal, limit: float = 0.5) -> DataFrame:
