@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from waymerge.llm.fingerprint import K, compare_edited, fingerprints, successors
+from waymerge.llm.fingerprint import K, LONGEST, SHORT, WORD, compare_edited, fingerprints, successors, words
 
 
 def corpus():
@@ -59,3 +59,37 @@ def test_successors(spark):
     ids = spark.range(0, 70_000).select((F.col("id") * 7).alias("id"))
     got = successors(ids)
     assert got.where("next != id + 7").collect()[0].asDict() == {"id": 69_999 * 7, "next": 0} and got.count() == 70_000
+
+
+def test_a_shared_half_leaves_a_likeness(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda least, most: "".join(rng.choices(letters, k=rng.randint(least, most)))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(540))
+    texts = [thai, word(500, 500), word(40, 40), word(5000, 5000), " ".join(word(1, 3) for _ in range(20)), " ".join(word(200, 300) for _ in range(9)), "x" * SHORT + " end", word(60, 60) + "\n" + "y z " * 50]
+    docs = spark.createDataFrame([(i, t) for n, t in enumerate(texts) for i, t in ((2 * n, t), (2 * n + 1, f"{word(30, 40)} " * 300))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in compare_edited(docs).collect()}
+    assert all(got[2 * n].near_edited > 0 for n in range(len(texts)))
+    assert LONGEST * 13 + 13 + LONGEST <= SHORT // 2
+
+
+def test_chosen_words_by_hand(spark):
+    """The choice depends on order of hashes only: a plain version over the same token hashes chooses the same places."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 7, 8, 9, 30, 200])))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    tokens = F.transform(F.split("text", " "), lambda w: F.xxhash64(w))
+    pairs = df.select("id", F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1))).alias("s")).collect()
+    s_of = {r.id: r.s for r in pairs}
+    for r in fingerprints(df).collect():
+        n, s = len(r.text.split()), s_of[r.id]
+        plain = [i for i in range(n - K + 1) if min(s[i:i + K - 1]) in (s[i], s[i + K - 2])]
+        assert [a.at for a in r.anchors] == (plain or [0])
+
+
+def test_words_equal_the_pattern(spark):
+    rng = random.Random(10)
+    alphabet = ["a", "é", "\U0001f600", " ", "\u00a0", "\u3000", "\n", "\x0b", "\u2003", "ก", "漢", "x" * 17, "é" * 9]
+    rows = [("",), (" ",)] + [("".join(rng.choices(alphabet, rng.choices([9, 1], k=1) * 6 + [3] * 7, k=rng.randrange(40))),) for _ in range(300)]
+    matched = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    assert spark.createDataFrame(rows, "text string").where(words(F.col("text")) != matched).count() == 0

@@ -1,43 +1,73 @@
-"""Document fingerprints from closed syncmers over words, with DataFrame functions only.
+"""Document fingerprints from closed syncmers, with DataFrame functions only.
 
 A text is a sequence of tokens; K neighbouring tokens are a k-mer, S neighbouring tokens an s-mer. A k-mer is chosen if the least
 hash among its s-mers stands at its first or last place. The choice looks at nothing outside the k-mer, so equal passages choose equal
-k-mers wherever they stand: anchors for positional matching, about two in K - S + 1 places.
+k-mers wherever they stand: anchors for positional matching, about two in K - S + 1 places and one at least in any 2K - S - 1 tokens.
+
+Tokens are words, cut where they are longer than LONGEST, and single characters of scripts without spaces. A text of SHORT code points at most has
+anchors over its characters as well. So two texts that share a beginning of 20 characters, and are both short or share 13 words, share an anchor.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymerge.plans.storage import written
 
-K, S = 8, 2
-# one ideograph or kana, or a run of anything else without white space
-TOKEN = "[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff]|[^\\s\\u00a0\\u3000\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff]+"
+K, S = 8, 2  # over words
+K_CHARS, S_CHARS = 12, 6  # over characters
+SHORT, LONGEST = 480, 16  # half of a longer text has 13 whole tokens of LONGEST characters and a space
+# kana and ideographs; Thai, Lao, Tibetan, Myanmar and Khmer
+UNSPACED = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\u0e00-\\u0fff\\u1000-\\u109f\\u1780-\\u17ff"
+SPACES = "[\\s\\u00a0\\u3000]+"
+WORD = f"[{UNSPACED}]|[^\\s\\u00a0\\u3000{UNSPACED}]{{1,{LONGEST}}}"
 PER_PART = 20_000  # documents whose order one task settles
+BELOW_ALL = Decimal(-(1 << 63) - 1)  # stands for a null doc_id
 
 
-def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with ``name``: array of (at, h), token position and 32-bit hash of each chosen k-mer in text order. A text with fewer tokens, or where
-    none is chosen, has its whole sequence as one anchor at 0; a text without tokens has none."""
-    t, s, chosen = f"__{name}_t", f"__{name}_s", f"__{name}_c"
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
-    df = df.withColumn(t, tokens)
-    pairs = F.when(F.size(t) >= S, F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(S)]))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(s, pairs)
-    inner = K - S + 1
-    at = lambda i, j: F.get(s, i + F.lit(j))
+def _chosen(df: DataFrame, tokens: str, name: str, k: int, s: int) -> DataFrame:
+    """df with ``name``: (at, h) of each chosen k-mer of the hashes in ``tokens``; the whole sequence where none is chosen, none where there are no tokens."""
+    mers, chosen = f"{name}_s", f"{name}_c"
+    inner = k - s + 1
+    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - s), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(s)]))
+    df = df.withColumn(mers, F.when(F.size(tokens) >= s, pairs).otherwise(F.array().cast("array<bigint>")))
+    at = lambda i, j: F.get(mers, i + F.lit(j))
     closed = lambda i: F.least(at(i, 0), at(i, inner - 1)) <= F.least(*[at(i, j) for j in range(1, inner - 1)])
-    places = F.when(F.size(s) >= inner, F.filter(F.sequence(F.lit(0), F.size(s) - inner), closed)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(chosen, places)
-    whole = F.when(F.size(t) > 0, F.array(F.struct(F.lit(0).alias("at"), F.hash(t).alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:int>>"))
-    each = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.hash(*[at(i, j) for j in range(0, inner, S)]).alias("h")))
-    return df.withColumn(name, F.when(F.size(chosen) > 0, each).otherwise(whole)).drop(t, s, chosen)
+    places = F.filter(F.sequence(F.lit(0), F.size(mers) - inner), closed)
+    df = df.withColumn(chosen, F.when(F.size(mers) >= inner, places).otherwise(F.array().cast("array<int>")))
+    each = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.hash(*[at(i, j) for j in range(0, inner, s)]).alias("h")))
+    whole = F.when(F.size(tokens) > 0, F.array(F.struct(F.lit(0).alias("at"), F.hash(tokens).alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:int>>"))
+    return df.withColumn(name, F.when(F.size(chosen) > 0, each).otherwise(whole)).drop(mers, chosen)
+
+
+def _hashed(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def words(text: Column) -> Column:
+    """Hashes of the matches of WORD. Splitting at white space is several times faster than matching, so only texts of unspaced scripts and long words are matched."""
+    each = F.filter(F.split(text, SPACES), lambda w: w != "")
+    plain = F.flatten(F.transform(each, lambda w: F.when(F.octet_length(w) <= LONGEST, F.array(F.xxhash64(w))).otherwise(_hashed(w, WORD))))
+    unspaced = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{UNSPACED}]")
+    return F.when(unspaced, _hashed(text, WORD)).otherwise(plain)
+
+
+def with_anchors(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with ``name``: array of (at, h), token position and 32-bit hash of each chosen k-mer of words in text order, and ``name``_chars: those of
+    characters, for texts of SHORT code points at most. A sequence too short to have one is its own anchor at 0; a text without tokens has none."""
+    t, c = f"__{name}_t", f"__{name}_u"
+    whole = F.coalesce(F.col(text), F.lit(""))
+    short = F.char_length(whole) <= SHORT
+    df = df.withColumn(t, words(whole)).withColumn(c, F.when(short, _hashed(whole, "[^\\s\\u00a0\\u3000]")).otherwise(F.array().cast("array<bigint>")))
+    return _chosen(_chosen(df, t, name, K, S), c, f"{name}_chars", K_CHARS, S_CHARS).drop(t, c)
 
 
 def hashes(anchors: str) -> Column:
-    return F.transform(F.col(anchors), lambda a: a["h"])
+    """Hashes of the anchors over words, then of those over characters."""
+    return F.transform(F.concat(F.col(anchors), F.col(f"{anchors}_chars")), lambda a: a["h"])
 
 
 def said(values: Column) -> Column:
@@ -78,17 +108,19 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id follow each other's id alike; as a next document their least text stands for them. A null doc_id counts as one that is smaller than all
     others. Other columns are not read; an empty table gives an empty result.
     """
-    null_id = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(null_id)).alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = F.col("doc_id").cast("bigint")
+    rows = docs.select(F.coalesce(given.cast("decimal(20,0)"), F.lit(BELOW_ALL).cast("decimal(20,0)")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     order = written(successors(rows.select("id")), "order")
-    rows = with_anchors(rows, "text", "anchors").select("id", "doc_id", "text", hashes("anchors").alias("own"))
     needs = rows.select("id", F.floor(F.char_length("text") / 2).alias("half")).groupBy("id").agg(F.max("half").alias("half"))
-    before = order.join(needs, "id").select(F.col("next").alias("id"), F.col("id").alias("for"), "half")
-    tails = rows.join(before, "id").select(F.col("for").alias("id"), F.struct(F.expr("left(text, int(half))").alias("tail"), F.array_distinct("own").alias("own")).alias("then"))
+    before = written(order.join(needs, "id").select(F.col("next").alias("id"), F.col("id").alias("for"), "half"), "before")
+    # the only shuffle of whole texts: both joins below read it
+    placed = with_anchors(rows, "text", "anchors").select("id", "text", hashes("anchors").alias("own")).repartition("id")
+    tails = placed.join(before, "id").select(F.col("for").alias("id"), F.struct(F.expr("left(text, int(half))").alias("tail"), F.array_distinct("own").alias("own")).alias("then"))
     tails = tails.groupBy("id").agg(F.min("then").alias("then"))
     n = F.char_length("text")
     edited = F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.expr("left(then.tail, int(char_length(text) div 2))"))
-    both = rows.join(tails, "id").select("doc_id", n.cast("bigint").alias("n_chars"), "own", F.col("then.own").alias("next_own"), edited.alias("edited"))
+    doc_id = F.when(F.col("id") > BELOW_ALL, F.col("id").cast("bigint")).alias("doc_id")
+    both = placed.join(tails, "id").select(doc_id, n.cast("bigint").alias("n_chars"), "own", F.col("then.own").alias("next_own"), edited.alias("edited"))
     both = with_anchors(both, "edited", "edited_anchors").withColumn("edited_own", hashes("edited_anchors"))
     mine = F.array_distinct("own")
     return both.select(
