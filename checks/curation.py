@@ -186,6 +186,23 @@ def _(t):
     return out.select("id", F.array_join("placeIds", ",").alias("ids"), (F.col("updatedAt") == _now()).alias("touched"))
 
 
+def _stripped(t: Tables):
+    slots = t["list_slots"].select("listId", F.col("pos").cast("int").alias("pos"), F.col("placeId").alias("ref"))
+    return U.strip_slots(slots, _gone(t), t["list_collections"].select("listId", F.col("collectionId").alias("ref")))
+
+
+@query("j17_strip_slots", f"""
+    select listId as "listId", cast(pos as int) as pos, placeId as ref from {{list_slots}} where placeId not in (select id from {_GONE} g)""")
+def _(t):
+    return _stripped(t)[0]
+
+
+@query("j17_strip_actions", f"""
+    with {_STRIPPED} select listId as "listId", case when kept = 0 and nc = 0 then 'deleted' else 'updated' end as action, gone as lost from l where gone > 0""")
+def _(t):
+    return _stripped(t)[1]
+
+
 @query("j17_place_delete_rows", f"""
     select 'places' as tab, id from {{places}} where id not in (select id from {_GONE} g)
     union all select 'memberships', id from {{memberships}} where placeId not in (select id from {_GONE} g)

@@ -103,6 +103,35 @@ def test_delete_cascade_leaves_no_reference(spark):
     assert (impact.deletedLists, impact.updatedLists, impact.title) == (1, 2, "3 Link Lists affected")
 
 
+def test_row_form_of_a_long_list(spark):
+    """One list holds half of all slots; rows and actions equal the array form, repeats, nulls and empty tables included."""
+    slots = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("l"), (F.col("id") % 900).cast("string"))).alias("listId"),
+        F.col("id").cast("int").alias("pos"), F.concat(F.lit("p"), (F.col("id") % 1_000).cast("string")).alias("ref"))
+    slots = slots.unionByName(spark.createDataFrame([("nulls", 0, None), ("nulls", 1, "p4"), (None, 0, "p4"), ("bare", 0, "p4"), ("bare", 1, "p4"), ("held", 0, "p4")], slots.schema))
+    gone = spark.createDataFrame([("p4",), ("p4",), ("p6",), ("absent",)], "id string")
+    others = spark.createDataFrame([("held", "k"), ("elsewhere", "k")], "listId string, ref string")
+    kept, actions = U.strip_slots(slots, gone, others)
+    rows = [tuple(r) for r in slots.collect()]
+    lost = {l for l, _, ref in rows if ref in ("p4", "p6") and l is not None}
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[2] not in ("p4", "p6"))
+    got = {r.listId: (r.action, r.lost) for r in actions.collect()}
+    assert set(got) == lost and got["hot"] == ("updated", 80) and got["bare"] == ("deleted", 2) and got["held"] == ("updated", 1) and got["nulls"] == ("updated", 1)
+    none, no_actions = U.strip_slots(slots, gone.limit(0), others)
+    assert none.count() == len(rows) and no_actions.count() == 0 and U.strip_slots(slots.limit(0), gone, others)[1].count() == 0
+
+
+def test_pack_totals_equal_counting_the_scope(spark):
+    packs = spark.createDataFrame([("a", "library", None), ("b", "filtered", "x"), ("c", "collection", "k1"), ("d", "collection", ""), ("e", "collection", "none"), ("f", "collection", "k1"), ("g", None, None)],
+                                  "id string, scopeType string, scopeId string")
+    places = spark.createDataFrame([("p1", 1.0, 1.0), ("p2", None, 1.0), ("p3", 2.0, 2.0)], "id string, latitude double, longitude double")
+    memberships = spark.createDataFrame([("p1", "k1"), ("p1", "k1"), ("p2", "k1"), ("gone", "k1"), ("p3", "k2")], "placeId string, collectionId string")
+    for skip in (False, True):
+        want = {r.packId: r["count"] for r in U.pack_scope(packs, places, memberships, skip).groupBy("packId").count().collect()}
+        assert {r.packId: r.n for r in U.pack_totals(packs, places, memberships, skip).collect()} == want
+    assert U.pack_totals(packs, places.limit(0), memberships).count() == 0
+
+
 def test_empty_pack_is_not_complete(spark):
     packs = spark.createDataFrame([("a",), ("b",)], "id string")
     items = spark.createDataFrame([("i1", "a", "done"), ("i2", "a", "skipped")], "id string, packId string, status string")

@@ -68,27 +68,45 @@ def list_collections(lists: DataFrame, collections: DataFrame) -> DataFrame:
     return named.join(collections, named["cid"] == collections["id"]).drop("cid")
 
 
-def pack_scope(packs: DataFrame, places: DataFrame, memberships: DataFrame, skip_missing_coordinates: bool = False) -> DataFrame:
-    """(packId, placeId) in scope: a collection pack takes its members (a collection
-    id is required), library and filtered packs take every place.
-
-    One equi-join on a scope key: the collection id, or ``*`` for the whole library.
-    """
-    usable = places.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
-        if skip_missing_coordinates else places
-    ids = usable.select(F.col("id").alias("placeId"))
-    scoped = packs.select(
+def _scopes(packs: DataFrame) -> DataFrame:
+    """(packId, scope): the scope key of each pack, a collection's or ``*`` for the whole library."""
+    return packs.select(
         F.col("id").alias("packId"),
         F.when(F.col("scopeType").isin("library", "filtered"), F.lit("*"))
         .when((F.col("scopeType") == "collection") & (F.col("scopeId") != ""), F.concat(F.lit("c:"), "scopeId"))
         .alias("scope"),
     ).where(F.col("scope").isNotNull())
-    members = (
-        memberships.select(F.concat(F.lit("c:"), "collectionId").alias("scope"), "placeId").distinct()
+
+
+def _usable(places: DataFrame, skip_missing_coordinates: bool) -> DataFrame:
+    usable = places.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
+        if skip_missing_coordinates else places
+    return usable.select(F.col("id").alias("placeId"))
+
+
+def _collection_members(memberships: DataFrame, ids: DataFrame) -> DataFrame:
+    return memberships.select(F.concat(F.lit("c:"), "collectionId").alias("scope"), "placeId").distinct() \
         .join(ids, "placeId", "left_semi").select("scope", "placeId")
-        .unionByName(ids.select(F.lit("*").alias("scope"), "placeId"))
-    )
-    return scoped.join(members, "scope").select("packId", "placeId")
+
+
+def pack_scope(packs: DataFrame, places: DataFrame, memberships: DataFrame, skip_missing_coordinates: bool = False) -> DataFrame:
+    """(packId, placeId) in scope: a collection pack takes its members (a collection
+    id is required), library and filtered packs take every place.
+
+    One equi-join on a scope key: the collection id, or ``*`` for the whole library.
+    """
+    ids = _usable(places, skip_missing_coordinates)
+    members = _collection_members(memberships, ids).unionByName(ids.select(F.lit("*").alias("scope"), "placeId"))
+    return _scopes(packs).join(members, "scope").select("packId", "placeId")
+
+
+def pack_totals(packs: DataFrame, places: DataFrame, memberships: DataFrame, skip_missing_coordinates: bool = False) -> DataFrame:
+    """(packId, n): places in scope of each pack that has any, equal to counting ``pack_scope``. Counts are per scope key, one row each,
+    so the library is counted once and not once for every pack that spans it."""
+    ids = _usable(places, skip_missing_coordinates)
+    n = F.count(F.lit(1)).alias("n")
+    counts = _collection_members(memberships, ids).groupBy("scope").agg(n).unionByName(ids.agg(n).select(F.lit("*").alias("scope"), "n"))
+    return _scopes(packs).join(counts.where("n > 0"), "scope").select("packId", "n")
 
 
 def materialize_packs(packs: DataFrame, places: DataFrame, memberships: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +116,7 @@ def materialize_packs(packs: DataFrame, places: DataFrame, memberships: DataFram
         F.concat_ws("_", F.lit("item"), "packId", "placeId").alias("id"), "packId", "placeId",
         F.lit("pending").alias("status"),
     )
-    totals = scope.groupBy("packId").agg(F.count(F.lit(1)).alias("n"))
+    totals = pack_totals(packs, places, memberships)
     zero = F.lit(0).cast("bigint")
     sessions = packs.select(F.col("id").alias("packId")).join(totals, "packId", "left").select(
         F.concat(F.lit("session_"), F.col("packId")).alias("id"), "packId", F.lit("pending").alias("status"),
@@ -215,15 +233,36 @@ def list_changes(lists: DataFrame, gone: DataFrame, array: str, other: str) -> D
     return hits.join(per_list, "listId").select("listId", "goneId", action.alias("action"))
 
 
+def list_slots(lists: DataFrame, array: str) -> DataFrame:
+    """(listId, pos, ref): the row form of a list's ids."""
+    return lists.select(F.col("id").alias("listId"), F.posexplode(array).alias("pos", "ref"))
+
+
+def strip_slots(slots: DataFrame, gone: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slots, actions) after deletion, in row form: for lists too long for an array in one row.
+
+    ``slots`` has listId, pos, ref; ``others`` has a listId for each id of the other kind. Slots that name a deleted id go, the rest keep their
+    positions. Actions are (listId, action, lost): ``deleted`` where nothing remains of either kind, else ``updated``; lists that lose nothing have none.
+    A list is counted before any shuffle and never gathered. Slots without a ref stay; without a listId they have no action.
+    """
+    ids = gone.select(F.col("id").alias("ref")).distinct()
+    kept = slots.join(ids, "ref", "left_anti").select(*slots.columns)
+    marked = slots.join(ids.withColumn("hit", F.lit(True)), "ref", "left").select("listId", F.col("hit").isNotNull().alias("lost"), F.lit(False).alias("other"))
+    rest = others.select("listId", F.lit(False).alias("lost"), F.lit(True).alias("other"))
+    counts = marked.unionByName(rest).where(F.col("listId").isNotNull()).groupBy("listId").agg(
+        F.count_if("lost").alias("lost"), F.count_if(~F.col("lost")).alias("left"))
+    action = F.when(F.col("left") == 0, "deleted").otherwise("updated").alias("action")
+    return kept, counts.where("lost > 0").select("listId", action, "lost")
+
+
 def strip_from_lists(lists: DataFrame, gone: DataFrame, array: str, other: str, now: Column) -> DataFrame:
-    """Lists after deletion: ids stripped, emptied lists removed. Only affected lists
-    are rebuilt, each from its own short array."""
-    slots = lists.select(F.col("id").alias("listId"), F.posexplode(array).alias("pos", "ref"))
-    hits = slots.join(gone.select(F.col("id").alias("ref")), "ref", "left_semi")
-    lost = hits.groupBy("listId").agg(F.collect_set("ref").alias("__lost"))
+    """Lists after deletion: ids stripped, emptied lists removed. Only affected lists are rebuilt, each from its own array by
+    the positions it loses, in time linear in its length; ``strip_slots`` is the form for lists beyond a row."""
+    hits = list_slots(lists, array).join(gone.select(F.col("id").alias("ref")), "ref", "left_semi")
+    lost = hits.groupBy("listId").agg(F.collect_list("pos").alias("__lost"))
     joined = lists.join(lost, lists["id"] == lost["listId"], "left")
-    kept = F.when(F.col("__lost").isNull(), F.col(array)).otherwise(
-        F.filter(array, lambda x: ~F.array_contains(F.col("__lost"), x)))
+    remaining = F.array_except(F.sequence(F.lit(0), F.size(array) - 1), F.col("__lost"))
+    kept = F.when(F.col("__lost").isNull(), F.col(array)).otherwise(F.transform(remaining, lambda i: F.get(array, i)))
     joined = joined.withColumns({
         "__kept": kept,
         "updatedAt": F.when(F.col("__lost").isNull(), F.col("updatedAt")).otherwise(now),
