@@ -1,5 +1,6 @@
 """The page model: exact marginals, held-out pages, and the test tables' pages."""
 
+import time
 import html as H
 import itertools
 import os
@@ -87,3 +88,17 @@ def test_unclosed_skipped_elements(tag):
 @pytest.mark.parametrize("tag", ["math", "svg", "object", "canvas", "video", "audio"])
 def test_text_inside_other_content(tag):
     assert words(f"<article><p>a <{tag}>b</{tag}> c</p><{tag}>d<p>e</p></article>") == "a b c d e"
+
+
+def test_broken_pages_in_linear_time():
+    """Pages of markup that never ends: each is read in about a second where a quadratic reading takes minutes, and its text stays."""
+    n = 20_000
+    pages = ["<a " * n, "<!--" * n, "<![CDATA[" * n, "<!-- <b>" * n, "<b>" * n + "</i>" * n, "<button><div>x" * n, "<select><p>" * n, "<noscript>" + "<div>" * n + "</noscript>", "<p><b>" * n, '<a x="' * n]
+    for body in pages:
+        began = time.perf_counter()
+        page = Page("<article><p>before " + body + "</p><p>after</p>")
+        assert time.perf_counter() - began < 20
+        assert "before" in page.blocks()[0][1]
+    assert [t for _, t in Page("<p>one <!-- never ended</p><p>two").blocks()] == ["one never ended", "two"]
+    assert [t for _, t in Page("<p>one <!-- a --> two <!--> three <a href='x").blocks()] == ["one two three"]
+    assert [t for _, t in Page("a < b <1 and <![if x]>c<![endif]>").blocks()] == ["a < b <1 and c"]

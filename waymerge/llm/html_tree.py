@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -34,6 +35,18 @@ PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 
+def closed_markup(html: str) -> str:
+    """html in which every comment, marked section and tag that starts has an end, so one pass reads it. Openings of comments and sections that never
+    end are dropped and their text stays; a tag that never ends is dropped with the rest of its attributes."""
+    html = html.replace("<!-->", "<!---->").replace("<!--->", "<!---->")  # both are empty comments
+    for opening, endings in (("<!--", ("-->", "--!>")), ("<![", ("]>",))):
+        after = max(0, *(html.rfind(x) for x in endings))
+        html = html[:after] + html[after:].replace(opening, " ")
+    after = html.rfind(">") + 1
+    unended = re.search(r"<[A-Za-z/!?]", html[after:])
+    return html[:after + unended.start()] if unended else html
+
+
 def name_words(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
     found = set()
     for key, value in attrs:
@@ -70,6 +83,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         self.unclosed: set[int] = set()  # numbers of their start tags
+        html = closed_markup(html)
         known = -1
         while known < len(self.unclosed):
             known = len(self.unclosed)
@@ -80,6 +94,8 @@ class Page(HTMLParser):
         self.nodes = [Node("body", -1, frozenset())]
         self.stack: list[tuple[str, int, int]] = []  # open elements: tag, node of its own or -1, number of the start tag
         self.at, self.skipping, self.links, self.tags = [0], 0, 0, 0
+        self.opened: Counter[str] = Counter()  # open elements by tag
+        self.endless: list[int] = []  # places in the stack of elements known to have no end tag
         self.runs: list[Run] = []
         self.open: dict[int, Run] = {}
         self.feed(html)
@@ -93,8 +109,11 @@ class Page(HTMLParser):
 
     def _pop(self, index: int, ended: bool = False) -> None:
         """Close the open elements from ``index`` on, the first of them by its end tag if ``ended``."""
+        while self.endless and self.endless[-1] >= index:
+            self.endless.pop()
         self.unclosed |= {n for tag, _, n in self.stack[index + ended:] if tag in SKIPPED and tag != "head"}
         for tag, node, _ in reversed(self.stack[index:]):
+            self.opened[tag] -= 1
             if node >= 0:
                 self.open.pop(node, None)
                 self.at.pop()
@@ -109,10 +128,10 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if self.skipping:
-            if tag == "body":
+            if tag == "body" and self.opened["head"]:
                 self._pop(next((i for i, (t, _, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
-            elif tag in GROUP and tag != "html":
-                self._pop(next((i for i, (_, _, n) in enumerate(self.stack) if n in self.unclosed), len(self.stack)))
+            elif tag in GROUP and tag not in ("html", "body") and self.endless:
+                self._pop(self.endless[0])
             if tag not in IN_HEAD and tag not in ("head", "html"):
                 self._leave_head()
         if tag in VOID:
@@ -133,6 +152,9 @@ class Page(HTMLParser):
             node = len(self.nodes) - 1
             self.at.append(node)
         self.stack.append((tag, node, self.tags))
+        self.opened[tag] += 1
+        if self.tags in self.unclosed:
+            self.endless.append(len(self.stack) - 1)
         self.links += tag == "a"
         self.skipping += tag in SKIPPED
 
@@ -146,6 +168,8 @@ class Page(HTMLParser):
             self._pop(len(self.stack) - 1)
 
     def _last(self, tag: str, fence: set[str]) -> int:
+        if not self.opened[tag]:
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 return i
@@ -154,6 +178,8 @@ class Page(HTMLParser):
         return -1
 
     def handle_endtag(self, tag):
+        if not self.opened[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self._pop(i, True)
