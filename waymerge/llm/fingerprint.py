@@ -5,7 +5,8 @@ hash among its s-mers stands at its first or last place. The choice looks at not
 k-mers wherever they stand: anchors for positional matching, about two in K - S + 1 places and one at least in any 2K - S - 1 tokens.
 
 Tokens are words, cut where they are longer than LONGEST, and single characters of scripts without spaces. A text of SHORT code points at most has
-anchors over its characters as well. So two texts that share a beginning of 20 characters, and are both short or share 13 words, share an anchor.
+anchors over its characters other than white space as well. So two texts that begin alike share an anchor if they share 13 whole words, or 17 such
+characters and are both short.
 """
 
 from __future__ import annotations
