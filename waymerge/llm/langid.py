@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -15,6 +17,7 @@ from .common import slices
 LETTER = r"\p{L}"
 OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 1 << 20  # characters of a text compressed at once
+PIECE = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("h", pa.int64()), ("piece", pa.string())])
 
 
 def letters_only(text: str) -> str:
@@ -22,20 +25,46 @@ def letters_only(text: str) -> str:
     return OTHER.sub(" ", text.lower())
 
 
-def learn(labelled: DataFrame, per_language: int = 200, chars_each: int = 1000) -> dict[str, bytes]:
+def pieces_of(text: str, length: int, most: int) -> list[str]:
+    """The different pieces of ``length`` letters of the whole text, the ``most`` of least hash in the order of their hashes."""
+    found = set()
+    for i in range(0, len(text), BLOCK):
+        letters = letters_only(text[i:i + BLOCK])
+        found.update(letters[j:j + length] for j in range(0, len(letters), length))
+    found.discard(" ")
+    return heapq.nsmallest(most, found, key=lambda p: (piece_hash(p), p))
+
+
+def piece_hash(piece: str) -> int:
+    return int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def learn(labelled: DataFrame, per_language: int = 200, pieces: int = 800, length: int = 250) -> dict[str, bytes]:
     """Raw dictionary content per language from labelled (doc_id, text, lang) rows.
 
-    A bounded sample: per language the ``per_language`` rows with letters that come first by hash of doc_id, and of each its
-    first ``chars_each`` characters. Rows with a null lang or without letters teach nothing. No rows: no languages.
+    A bounded sample: per language the ``per_language`` different rows with letters that come first by hash of doc_id and text. Their whole texts are
+    cut into pieces of ``length`` letters; pieces that repeat, in one text or several of a language, count once. A language's dictionary has
+    ``pieces`` pieces at most: each text's first by hash, then each text's second, and so on, so one long text does not fill it, and a beginning
+    that many texts share takes as many places as it has pieces. Rows with a null lang or without letters teach nothing. No rows: no languages.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(LETTER))
-    rows = usable.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars_each).alias("t"))
-    # Spark limits each map task to per_language rows of a language before the shuffle
-    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= per_language)
+    usable = labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(LETTER)).withColumn("h", F.xxhash64("doc_id", "text"))
+    # Spark limits each map task to per_language rows of a language before the shuffle; only hashes move
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = usable.select("lang", "h").withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= per_language).select("lang", "h").distinct()
+    texts = usable.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = [(lang, n, piece_hash(p), p) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
+                    for n, p in enumerate(pieces_of(text, length, pieces))]
+            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "n", "h", "piece"), r)) for r in rows], PIECE)
+
+    every = texts.mapInArrow(run, "lang string, n int, h bigint, piece string").groupBy("lang", "piece").agg(F.min("n").alias("n"), F.first("h").alias("h"))
+    kept = every.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("n", "h", "piece"))).where(F.col("at") <= pieces)
     found: dict[str, list[tuple]] = {}
-    for r in chosen.select("lang", "h", "t").collect():
-        found.setdefault(r.lang, []).append((r.h, r.t))
-    return {lang: "\n".join(dict.fromkeys(letters_only(t) for _, t in sorted(xs))).encode() for lang, xs in sorted(found.items())}
+    for r in kept.select("lang", "at", "piece").collect():
+        found.setdefault(r.lang, []).append((r["at"], r.piece))
+    return {lang: "\n".join(p for _, p in sorted(xs)).encode() for lang, xs in sorted(found.items())}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01, level: int = 9) -> DataFrame:
