@@ -39,7 +39,7 @@ BYTES, STEPS = random64(256, 21), random64(8, 22) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 KEY = ["k1", "k2"]
-ID, WHOLE = ["id", "id2"], ["whole", "whole2"]  # a run in 96 bits, equal bytes by 128 bits
+WHOLE = ["whole", "whole2"]  # equal bytes by 128 bits
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,7 +101,7 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(open_runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The open runs with the bytes of their context and a number."""
+    """The open runs with the bytes of their context."""
     asked = open_runs.groupBy(*KEY).agg(F.collect_list(F.struct("h", "n", "a", "lo", "hi")).alias("runs"))  # as many as fit a text
     kept = texts.join(asked.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.first("text").alias("text"))
 
@@ -117,31 +117,31 @@ def _contexts(open_runs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     joined = kept.join(asked, KEY).select(*KEY, "text", "runs")
-    return joined.mapInArrow(run, "k1 bigint, k2 int, h bigint, n bigint, a bigint, lo int, hi int, bytes binary").withColumns({"id": F.xxhash64(*KEY, "a", "lo", "hi"), "id2": F.hash(*KEY, "a", "lo", "hi")})
+    return joined.mapInArrow(run, "k1 bigint, k2 int, h bigint, n bigint, a bigint, lo int, hi int, bytes binary")
 
 
 def _nodes(contexts: DataFrame, size: int) -> DataFrame:
-    """id, id2, n, s, x, y, common, whole, whole2: for each asked s the distances x to y of the run in [s, s + size), and hashes of the bytes all and any of their windows have.
+    """id, n, s, x, y, common, whole, whole2: for each asked s the distances x to y of the run in [s, s + size), and hashes of the bytes all and any of their windows have.
 
     Equal ``common`` only decides what is looked at again, so 64 bits do; ``whole`` decides what is removed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for ident, ident2, n, h, lo, hi, data, asked in zip(*(batch.column(c).to_pylist() for c in (*ID, "n", "h", "lo", "hi", "bytes", "asked"))):
+            out: list[list] = [[] for _ in range(8)]
+            for ident, n, h, lo, hi, data, asked in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "h", "lo", "hi", "bytes", "asked"))):
                 for s in asked:
                     x, y = max(s, lo), min(s + size - 1, hi)
                     if x > y:
                         continue
                     common = hashlib.blake2b(data[hi - s: hi - s - size + 1 + LENGTH], digest_size=8, salt=h.to_bytes(8, "little", signed=True), person=s.to_bytes(2, "little")).digest()
                     whole = hashlib.blake2b(data[hi - y: hi - x + LENGTH], digest_size=16, salt=h.to_bytes(8, "little", signed=True), person=x.to_bytes(2, "little") + y.to_bytes(2, "little")).digest()
-                    for o, v in zip(out, (ident, ident2, n, s, x, y, int.from_bytes(common, "little", signed=True), *struct.unpack("<qq", whole))):
+                    for o, v in zip(out, (ident, n, s, x, y, int.from_bytes(common, "little", signed=True), *struct.unpack("<qq", whole))):
                         o.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], [*ID, "n", "s", "x", "y", "common", *WHOLE])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["id", "n", "s", "x", "y", "common", *WHOLE])
 
-    return contexts.select(*ID, "n", "h", "lo", "hi", "bytes", "asked").mapInArrow(run, "id bigint, id2 int, n bigint, s int, x int, y int, common bigint, whole bigint, whole2 bigint")
+    return contexts.select("id", "n", "h", "lo", "hi", "bytes", "asked").mapInArrow(run, "id bigint, n bigint, s int, x int, y int, common bigint, whole bigint, whole2 bigint")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -153,20 +153,21 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     same = alive.join(blocks.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
     spans = same.select(*KEY, (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + LENGTH).alias("end")).distinct()
     split = blocks.groupBy("h").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("u")).where("m > 1 and u > 0").select("h")
-    contexts = written(_contexts(blocks.join(split, "h"), texts), "contexts")
+    # numbered as they are written, so the numbers are fixed from then on
+    contexts = written(_contexts(blocks.join(split, "h"), texts).withColumn("id", F.monotonically_increasing_id()), "contexts")
     starts = F.sequence(F.col("lo") - F.col("lo") % SIZES[0], F.col("hi"), F.lit(SIZES[0]))
     asking = contexts.withColumn("asked", starts)
     for size, finer in zip(SIZES, (*SIZES[1:], 0)):
         nodes = written(_nodes(asking, size), "nodes")
         confirmed = nodes.groupBy(*WHOLE).agg(F.sum("n").alias("times")).where("times > 1").select(*WHOLE, F.lit(True).alias("sure"))
-        judged = nodes.join(confirmed, WHOLE, "left").select(*ID, "s", "x", "y", "common", "n", F.coalesce("sure", F.lit(False)).alias("sure"))
-        places = contexts.select(*ID, *KEY, "a")
-        sure = judged.where("sure and n = 1").join(places, ID)
+        judged = nodes.join(confirmed, WHOLE, "left").select("id", "s", "x", "y", "common", "n", F.coalesce("sure", F.lit(False)).alias("sure"))
+        places = contexts.select("id", *KEY, "a")
+        sure = judged.where("sure and n = 1").join(places, "id")
         spans = spans.union(sure.select(*KEY, (F.col("a") - F.col("y")).alias("start"), (F.col("a") - F.col("x") + LENGTH).alias("end")))
         if finer:
             going = judged.groupBy("common").agg(F.sum("n").alias("times"), F.count_if(~F.col("sure")).alias("unsure")).where("times > 1 and unsure > 0").select("common")
-            next_asked = judged.join(going, "common", "left_semi").groupBy(*ID).agg(F.flatten(F.collect_list(F.sequence("s", F.col("s") + size - 1, F.lit(finer)))).alias("asked"))
-            asking = contexts.join(next_asked, ID)
+            next_asked = judged.join(going, "common", "left_semi").groupBy("id").agg(F.flatten(F.collect_list(F.sequence("s", F.col("s") + size - 1, F.lit(finer)))).alias("asked"))
+            asking = contexts.join(next_asked, "id")
     return spans
 
 
