@@ -30,6 +30,12 @@ def test_name_order(spark):
     assert [r.id for r in review_order(df, "name", True).collect()] == ["1", "3", "2", "0"]
 
 
-def test_distance_bounds():
-    assert MatchFilter().distance_km is None and MatchFilter().score is None
-    assert filter_matches is not None
+def test_distance_bounds(spark):
+    # a degree of longitude on the equator is 111.2 km; the last match has no point
+    rows = [("at", '{"latitude":0,"longitude":0}'), ("near", '{"latitude":0,"longitude":1}'), ("far", '{"latitude":0,"longitude":2}'), ("none", '{"name":"x"}')]
+    df = spark.createDataFrame(rows, "id string, targetPlaceData string").selectExpr(
+        "*", "50 confidenceScore", "'medium' confidenceLevel", "'pending' verificationStatus", "cast(null as timestamp) verifiedAt", "'[]' matchFactors",
+        "0.0D latitude", "0.0D longitude", "'x' title")
+    kept = lambda low, high: {r.id for r in filter_matches(df, MatchFilter(distance_km=(low, high))).collect()}
+    assert kept(0, 0) == {"at"} and kept(0, 112) == {"at", "near"} and kept(111, 223) == {"near", "far"} and kept(300, 400) == set()
+    assert {r.id for r in filter_matches(df, MatchFilter()).collect()} == {"at", "near", "far", "none"}
