@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import matcher_name
+from ..plans.storage import written
 
 _BEFORE, _AFTER = "\u0001", "\u0002"  # pad a name, so its ends count as grams too
 
@@ -51,9 +52,10 @@ def names_within(left: DataFrame, right: DataFrame, edits: int = 2, q: int = 2)
     """
     if edits < 1 or q < 2:
         raise ValueError("edits must be 1 or more and q 2 or more")
-    l, r = (side.where(F.col("name").isNotNull()).select("name").distinct() for side in (left, right))
+    # written, since each is used several times: else every use would read and clean all texts again, in one very large plan
+    l, r = (written(side.where(F.col("name").isNotNull()).select("name").distinct(), "names") for side in (left, right))
     gram = F.explode(F.transform(_all_grams(F.col("name"), q), lambda g: g["gram"])).alias("gram")
-    uses = l.unionAll(r).select(gram).groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    uses = written(l.unionAll(r).select(gram).groupBy("gram").agg(F.count(F.lit(1)).alias("uses")), "gram-uses")
     copied = _rare_grams(l, uses, q, edits).withColumn("at", F.explode(F.sequence(F.greatest(F.col("len") - edits, F.lit(0)), F.col("len") + edits)))
     a = copied.select(F.col("name").alias("left_name"), F.col("pos").alias("left_pos"), "gram", "at")
     b = _rare_grams(r, uses, q, edits).select(F.col("name").alias("right_name"), F.col("pos").alias("right_pos"), "gram", F.col("len").alias("at"))
@@ -69,7 +71,7 @@ def names_within(left: DataFrame, right: DataFrame, edits: int = 2, q: int = 2)
         return short.select(F.col("name").alias(who), F.explode(F.array_distinct(every)).alias("rest"))
 
     short = cut(l, "left_name").join(cut(r, "right_name"), "rest").select("left_name", "right_name")
-    return met.unionAll(short).withColumn("edits", apart).where("edits >= 0").distinct()
+    return written(met.unionAll(short).withColumn("edits", apart).where("edits >= 0").distinct(), "close-names")
 
 
 def typo_search(queries: DataFrame, candidates: DataFrame, edits: int = 2) -> DataFrame:
@@ -77,8 +79,8 @@ def typo_search(queries: DataFrame, candidates: DataFrame, edits: int = 2) -> Da
 
     Names are compared once however many records bear them; empty names are not searched for.
     """
-    q = queries.select("query_id", matcher_name(F.col("name")).alias("name")).where("name <> ''")
-    c = candidates.select(F.col("id").alias("candidate_id"), matcher_name(F.col("name")).alias("name")).where("name <> ''")
+    q = written(queries.select("query_id", matcher_name(F.col("name")).alias("name")).where("name <> ''"), "query-names")
+    c = written(candidates.select(F.col("id").alias("candidate_id"), matcher_name(F.col("name")).alias("name")).where("name <> ''"), "candidate-names")
     pairs = names_within(q, c, edits)
     return (
         q.withColumnRenamed("name", "left_name").join(pairs, "left_name")
