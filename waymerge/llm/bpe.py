@@ -78,18 +78,21 @@ class Vocabulary:
 
     def leaf(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, leftmost first, until none is left."""
-        ranks = self.ranks
+        get, never = self.ranks.get, len(self.ranks) + (1 << 40)
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        near = [get(piece[i:i + 2], never) for i in range(len(piece) - 1)]  # ranks of the adjacent pairs
+        while near:
+            rank = min(near)
+            if rank == never:
                 break
+            at = near.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[x] for x in parts]
+            del near[at]
+            if at:
+                near[at - 1] = get(parts[at - 1] + parts[at], never)
+            if at < len(near):
+                near[at] = get(parts[at] + parts[at + 1], never)
+        return [self.ranks[x] for x in parts]
 
     def stable(self, left: int, right: int) -> bool:
         key = (left, right)
@@ -126,52 +129,69 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """piece -> (ids, decimal ids)."""
+    """piece -> (decimal ids, the bytes they decode to)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str):
         ids = self.vocabulary.encode(piece.encode("utf-8"))
-        if len(piece) > 256:
-            return ids, " ".join(map(str, ids))
-        if len(self) >= PIECES:
-            self.clear()
-        self[piece] = out = (ids, " ".join(map(str, ids)))
+        out = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
+        if len(piece) <= 256:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
+@lru_cache(2)
+def coder(path: str, pattern: str):
+    """text -> (ids as one decimal string, the bytes they decode to). Kept, with the pieces it has seen, for the tasks that a worker runs later."""
+    pieces, split = _Pieces(Vocabulary(path)), splitter(pattern)
+
+    def run(text: str) -> tuple[str, bytes]:
+        found = list(map(pieces.__getitem__, split.findall(text)))
+        return " ".join([said for said, _ in found]), b"".join([raw for _, raw in found])
+
+    run.vocabulary = pieces.vocabulary
+    return run
+
+
+def _ids(said: str) -> list[int]:
+    return list(map(int, said.split()))
+
+
 def encoder(path: str, pattern: str):
     """text -> (ids, ids as one decimal string)."""
-    pieces, split = _Pieces(Vocabulary(path)), splitter(pattern)
+    code = coder(path, pattern)
 
     def run(text: str) -> tuple[list[int], str]:
-        found = [pieces[x] for x in split.findall(text)]
-        return [i for ids, _ in found for i in ids], " ".join([said for _, said in found])
+        said, _ = code(text)
+        return _ids(said), said
 
-    return run, pieces.vocabulary
+    return run, code.vocabulary
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>).
 
     ``path``: a rank file (base64 bytes, rank) that every executor can open. Null and empty texts give no tokens. Every row
-    is encoded by itself, so repeated rows, null doc_ids and other columns (not read) do not matter; an empty table
+    is encoded by itself (pieces seen before, in earlier tasks of the worker too, are looked up), so repeated rows, null doc_ids and other columns (not read) do not matter; an empty table
     gives an empty result. Texts of any length are handled piece by piece; a piece costs n log n.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = encoder(path, pattern)
+        code = coder(path, pattern)
         for batch in slices(batches, "text"):
             counts, digests, decoded, lists = [], [], [], []
             for text in batch.column("text"):
-                ids, said = encode(text.as_py() or "")
-                counts.append(len(ids))
+                said, raw = code(text.as_py() or "")
+                counts.append(said.count(" ") + 1 if said else 0)
                 digests.append(hashlib.sha256(said.encode()).hexdigest())
-                decoded.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                decoded.append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
-                    lists.append(ids)
+                    lists.append(_ids(said))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
