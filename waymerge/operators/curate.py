@@ -45,14 +45,22 @@ def expand_list_members(lists: DataFrame, memberships: DataFrame, places: DataFr
 
 
 def expand_lists(lists: DataFrame, memberships: DataFrame, places: DataFrame) -> DataFrame:
-    """Lists with ``placeIds`` replaced by the expanded, ordered ids (a list's own size bounds the array)."""
-    rows = expand_list_members(lists, memberships, places)
-    ids = rows.groupBy("listId").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "placeId"))), lambda s: s["placeId"]).alias("ids")
+    """Lists with ``placeIds`` replaced by the expanded, ordered ids (a list's own size bounds the array): ``expand_list_members`` in one row a list.
+
+    The members of a collection that some list names are gathered once and move as one array to each such list, so no row is made, moved or
+    sorted per list and member.
+    """
+    wanted = lists.select(F.col("id").alias("listId"), F.explode(F.array_distinct("collectionIds")).alias("collectionId"))
+    held = (
+        memberships.select("collectionId", "placeId").join(wanted, "collectionId", "left_semi")
+        .join(places.select(F.col("id").alias("placeId")), "placeId", "left_semi")
+        .groupBy("collectionId").agg(F.collect_set("placeId").alias("held"))
     )
+    members = wanted.join(held, "collectionId").groupBy("listId").agg(F.array_sort(F.flatten(F.collect_list("held"))).alias("held"))
+    none = F.array().cast("array<string>")
     return (
-        lists.join(ids, lists["id"] == ids["listId"], "left")
-        .withColumn("placeIds", F.coalesce("ids", F.array().cast("array<string>"))).drop("ids", "listId")
+        lists.join(members, lists["id"] == members["listId"], "left")
+        .withColumn("placeIds", F.array_distinct(F.concat(F.coalesce("placeIds", none), F.coalesce("held", none)))).drop("held", "listId")
     )
 
 
