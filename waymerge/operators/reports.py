@@ -72,17 +72,28 @@ def verification_progress(matches: DataFrame) -> DataFrame:
     })
 
 
-def pack_progress(packs: DataFrame, items: DataFrame) -> DataFrame:
-    counts = items.groupBy("packId").agg(
+def _item_counts(items: DataFrame) -> DataFrame:
+    return items.groupBy("packId").agg(
         F.count_if(F.col("status").isin("done", "skipped")).alias("done"), F.count(F.lit(1)).alias("total"))
+
+
+def _with_progress(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({
+        "pct": ratio_pct(F.col("done"), F.col("total")),
+        "isComplete": (F.col("done") == F.col("total")) & (F.col("total") > 0),
+    })
+
+
+def progress_of_items(items: DataFrame) -> DataFrame:
+    """``pack_progress`` of the packs that the items name, which are read once."""
+    return _with_progress(_item_counts(items))
+
+
+def pack_progress(packs: DataFrame, items: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    return (
-        packs.select(F.col("id").alias("packId")).join(counts, "packId", "left")
+    return _with_progress(
+        packs.select(F.col("id").alias("packId")).join(_item_counts(items), "packId", "left")
         .withColumns({"done": F.coalesce("done", zero), "total": F.coalesce("total", zero)})
-        .withColumns({
-            "pct": ratio_pct(F.col("done"), F.col("total")),
-            "isComplete": (F.col("done") == F.col("total")) & (F.col("total") > 0),
-        })
     )
 
 
