@@ -1,8 +1,10 @@
 """Steps whose cost must grow no faster than their input: same rows as the plain form, and no plan that moves or holds more."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from waymerge.operators import curate as U
+from waymerge.streaming import live as L, quota_state as Q
 
 
 def plan(df):
@@ -23,3 +25,79 @@ def test_expanded_lists_move_members_as_arrays(spark):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "placeId"))), lambda s: s["placeId"]).alias("ids"))
     assert {r.listId: r.ids for r in rows.collect()} == {k: v for k, v in got.items() if v}
     assert "posexplode" not in plan(out)
+
+
+def test_packs_move_named_collections_only(spark):
+    packs = spark.createDataFrame(
+        [("a", "collection", "k1"), ("b", "library", None), ("c", "collection", ""), ("d", "filtered", None), ("e", "collection", "none"), ("f", "collection", None)],
+        "id string, scopeType string, scopeId string")
+    memberships = spark.createDataFrame([("k1", "p1"), ("k1", "p1"), ("k1", "gone"), ("k2", "p2"), ("", "p1"), (None, "p1")], "collectionId string, placeId string")
+    places = spark.createDataFrame([(f"p{i}", 1.0, 2.0) for i in range(200)], "id string, latitude double, longitude double")
+    out = U.pack_scope(packs, places, memberships)
+    want = [("a", "p1")] + [(k, f"p{i}") for k in "bd" for i in range(200)]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert [r.scope for r in U._collection_members(memberships, places.select(F.col("id").alias("placeId")), packs).collect()] == ["c:k1"]
+    assert {r.packId: r.n for r in U.pack_totals(packs, places, memberships).collect()} == {"a": 1, "b": 200, "d": 200}
+
+
+def test_deleted_sessions_are_held_in_parts(spark):
+    sessions = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "id string")
+    matches = spark.createDataFrame([("m1", "s1"), ("m2", "s2"), ("m3", None), ("m4", "")], "id string, sessionId string")
+    log = spark.createDataFrame([("l1", "s2"), ("l2", None), ("l3", "")], "id string, sessionId string")
+    out = U.delete_sessions({"sessions": sessions, "matches": matches, "log": log}, sessions.where("id <> 's1'"))
+    assert {k: sorted(r.id for r in v.collect()) for k, v in out.items()} == {"sessions": ["s1"], "matches": ["m1", "m3", "m4"], "log": ["l2", "l3"]}
+    for table in out.values():
+        assert "BroadcastHashJoin" not in plan(table) and "ShuffledHashJoin" in plan(table)
+
+
+def test_live_progress_over_several_batches(spark, tmp_path):
+    """Null packs count like others, also in later batches; what a batch brings is not combined where it is read."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id string, packId string, status string, at timestamp"
+    for rows in ([("i1", "a", "pending"), ("i2", "a", "done"), ("i1", None, "done")], [("i1", "a", "skipped"), ("i3", None, "pending")]):
+        spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "id string, packId string, status string, n int").select(
+            "id", "packId", "status", F.lit("2024-01-01").cast("timestamp").alias("at")).write.mode("append").parquet(source)
+        L.live_pack_progress(spark.readStream.schema(schema).parquet(source), folder).awaitTermination()
+    got = {r.packId: (r.done, r.total, r.isComplete) for r in L.current_summary(spark, folder, "packId").collect()}
+    assert got == {"a": (2, 2, True), None: (1, 2, False)}
+
+
+def test_current_windows_spread_rows_before_combining(spark, tmp_path):
+    for epoch, rows in enumerate([[(1, "x", 3), (2, "y", 1)], [(1, "x", 5), (2, "y", None)]]):
+        spark.createDataFrame(rows, "start int, user string, count long").write.parquet(f"{tmp_path}/windows/epoch={epoch}")
+    out = L.current_windows(spark, str(tmp_path), ["start", "user"])
+    assert "SortAggregate" not in plan(out) and plan(out).count("Exchange") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "x", 5), (2, "y", None)]
+
+
+def test_quota_counts_in_plain_steps():
+    class Held:
+        value, timers = None, []
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+        def clear(self):
+            self.value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    held, counter = Held(), Q.QuotaCounter(600_000)
+    counter.init(held)
+    calls = lambda *rows: iter([pd.DataFrame({"callId": [r[0]], "tier": ["free"], "userId": ["u"], "ts": pd.to_datetime([r[1]])}) for r in rows])
+    first, = counter.handleInputRows(None, calls(("b", "2024-01-01 10:00:05"), ("a", "2024-01-01 10:00:05"), ("c", "2024-01-01 09:59:59"), ("d", "1969-12-31 10:00:00")), held)
+    assert first[["callId", "dayCount", "minuteCount"]].values.tolist() == [["c", 1, 1], ["a", 2, 1], ["b", 3, 2]]
+    second, = counter.handleInputRows(None, calls(("e", "2024-01-01 10:00:59"), ("f", "2024-01-02 00:00:00")), held)
+    assert second[["callId", "dayCount", "minuteCount"]].values.tolist() == [["e", 4, 3], ["f", 1, 1]]
+    assert not list(counter.handleInputRows(None, calls(("g", "1960-01-01")), held))
+    assert "groupby" not in Q.QuotaCounter.handleInputRows.__code__.co_names
