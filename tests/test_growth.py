@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from waymerge.operators import curate as U
+from waymerge.operators import blocking as B, curate as U
 from waymerge.streaming import live as L, quota_state as Q
 
 
@@ -101,3 +101,13 @@ def test_quota_counts_in_plain_steps():
     assert second[["callId", "dayCount", "minuteCount"]].values.tolist() == [["e", 4, 3], ["f", 1, 1]]
     assert not list(counter.handleInputRows(None, calls(("g", "1960-01-01")), held))
     assert "groupby" not in Q.QuotaCounter.handleInputRows.__code__.co_names
+
+
+def test_nearby_tells_far_pairs_without_an_arc(spark):
+    points = spark.createDataFrame([("n", 90.0, 10.0), ("e", 0.0, 180.0), ("o", 0.0, 0.0)], "query_id string, latitude double, longitude double")
+    others = spark.createDataFrame([("pole", 89.9999, -170.0), ("west", 0.0, -179.9999), ("same", 0.0, 0.0), ("near", 0.0, 0.0001), ("far", 0.0, 0.01)],
+                                   "id string, latitude double, longitude double")
+    near = lambda r: sorted((x.query_id, x.candidate_id) for x in B.nearby(points, others, r).collect())
+    close = [("e", "west"), ("n", "pole"), ("o", "near"), ("o", "same")]
+    assert near(12.0) == close and near(1200.0) == sorted(close + [("o", "far")]) and near(0.001) == [("o", "same")]
+    assert "(((q_x" in B.nearby(points, others, 12.0)._jdf.queryExecution().optimizedPlan().toString()
