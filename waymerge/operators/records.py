@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.address import canonical_address, matcher_address, provider_address, with_address_parts
 from ..functions.category import matcher_category, provider_category, with_canonical_category
 from ..functions.geo import check_coordinates
+from ..functions.numbers import shuffle_width
 from ..functions.text import canonical_name, matcher_name, provider_name, search_tokens, trim
 
 FLAGS = ("name_normalized", "address_normalized", "invalid_coordinates", "category_normalized")
@@ -48,10 +49,12 @@ def normalize_records(df: DataFrame, title: str, category: Column, profile: str
     how = PROFILES[profile]
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = df.select("id", F.col(title).alias("title"), "address", "latitude", "longitude", category.alias("category"))
-    rows = with_address_parts(how.category(rows), "address", "components").withColumns({
+    # cleaning costs far more than moving, and is done before the category's join, which run-time merging would leave with one task
+    rows = rows.repartition(shuffle_width(rows), "id")
+    rows = how.category(with_address_parts(rows, "address", "components").withColumns({
         "normal_name": how.name(F.col("title")), "normal_address": how.address(F.col("address")),
-        "check": check_coordinates(F.col("latitude"), F.col("longitude")),
-    })
+        "check": check_coordinates(F.col("latitude"), F.col("longitude")), "tokens": search_tokens(F.col("title")),
+    }))
     given = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     changed = {
         "name_normalized": F.col("normal_name") != trim(F.lower(blank("title"))),
@@ -63,7 +66,7 @@ def normalize_records(df: DataFrame, title: str, category: Column, profile: str
     return rows.select(
         "id", F.col("normal_name").alias("name"), F.col("normal_address").alias("address"),
         F.when(given & F.col("check.is_valid"), point).alias("coordinates"), F.col("normal_category").alias("category"), "components",
-        search_tokens(F.col("title")).alias("tokens"),
+        "tokens",
         F.array_compact(F.array(*[F.when(changed[f], F.lit(f)) for f in FLAGS])).alias("flags"),
         F.struct("title", F.col("address").alias("address"), F.col("category").alias("category")).alias("original"),
     )
