@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tests.test_blocking import crowd
 from waymerge.functions.category import with_canonical_category
+from waymerge.operators import blocking as B
+from waymerge.operators import matching as M
 from waymerge.operators.records import normalize_records
 
 
@@ -30,3 +33,14 @@ def test_records_are_cleaned_before_the_join_with_categories(spark):
     df = spark.createDataFrame([("a", "The Cafe", "1 Main St", 1.0, 2.0, "cafe")], "id string, title string, address string, latitude double, longitude double, category string")
     plan = plan_of(normalize_records(df, "title", F.col("category")))
     assert plan.index("Join LeftOuter") < plan.index("AS normal_name") and "AS tokens" in plan[plan.index("Join LeftOuter"):]
+
+
+def test_no_distance_in_the_join_that_makes_pairs(spark):
+    places, candidates = crowd(spark, 6, 70)
+    met = B.meeting(M.place_features(places), M.candidate_features(candidates), B.Blocking())
+    plan = plan_of(met)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    pairing = [line for line in joins if "(cb#" in line and "(pb#" in line]
+    assert len(pairing) == 1 and "CASE WHEN" not in pairing[0] and "Generate explode(transform(" in plan
+    row = M.distance_factor(met, 5000).select("distance_m", B.haversine_m(F.col("p_lat"), F.col("p_lng"), F.col("c_lat"), F.col("c_lng")).alias("m")).where("m is not null").first()
+    assert row.distance_m == row.m
